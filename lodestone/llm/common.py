@@ -68,6 +68,17 @@ def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int =
     return run
 
 
+_KEPT: dict[str, object] = {}
+
+
+def once_per_worker(key: str, build: Callable[[], object]) -> object:
+    """What ``build`` made in this Python worker for this key; only the newest key's is kept, from task to task."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
 class WordTable:
     """Values of words, each computed once for many batches.
 

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, packing, token_counts
-from .common import documents
+from . import binary_output, language_id, packing, token_counts, toxicity
+from .common import documents, fold
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,21 @@ def op2_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.packed_digest(binary_output.packed_sequences(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of the held-out third aren't learned from."""
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels, learn=fold(3) != 1)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; the held-out quarter isn't learned from."""
+    docs = documents(spark, sf_dir)
+    model = language_id.fit(docs, public_tokenizers.path("piece_bpe_32k.model"), learn=fold(4) != 2)
+    return language_id.predict(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 tokens, first fit decreasing."""
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
@@ -31,6 +46,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_packed_ids": op2_packed_ids,
+    "op3_toxicity": op3_toxicity,
+    "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
 

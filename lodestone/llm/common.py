@@ -174,7 +174,7 @@ def word_hashes(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.n
         power = np.full(len(rest) + 1, base)
         power[0] = 1
         np.multiply.accumulate(power, out=power)
-        hashes[j] = hashes[j] * power[-1] + np.sum(rest * power[-2::-1] if len(rest) > 1 else rest, dtype=np.uint64)
+        hashes[j : j + 1] = hashes[j : j + 1] * power[-1:] + np.sum(rest * power[-2::-1], dtype=np.uint64, keepdims=True)
     hashes = mix64(hashes ^ (size.astype(np.uint64) << np.uint64(40)))
     return hashes, np.diff(np.searchsorted(starts, np.concatenate([[0], ends])))
 

@@ -34,6 +34,8 @@ from .common import WordTable, bound_batches, once_per_worker, per_batch, segmen
 CHUNK, PIECE = 32, 12
 #: Probability of a character that no piece covers, and the least of a known piece.
 UNKNOWN, LEAST = 1e-7, 1e-7
+#: Languages that there can be: the model has a column for each.
+MAX_LANGUAGES = 200
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -150,10 +152,13 @@ def fit(docs: DataFrame, vocabulary: str, learn: Column | None = None, fit_docs:
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if learn is not None:
         known = known.where(learn)
-    totals = known.groupBy(F.col("lang").alias("lang")).agg(F.count("*").alias("rows"))
-    share = F.least(F.lit(1.0), F.lit(float(fit_docs)) / F.col("rows"))
-    sample = known.select("doc_id", "lang", "text").join(totals.select("lang", share.alias("share")), "lang")
-    sample = sample.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    totals = known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(totals) > MAX_LANGUAGES:
+        raise ValueError(f"lang has more than {MAX_LANGUAGES} values")
+    share = F.lit(0.0)
+    for lang, rows in totals:
+        share = F.when(F.col("lang") == lang, min(1.0, fit_docs / rows)).otherwise(share)
+    sample = known.select("doc_id", "lang", "text").where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word != ''")
     words = stored(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "language-words")
     languages = tuple(r[0] for r in words.select("lang").distinct().orderBy("lang").collect())

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, language_id, packing, token_counts, toxicity
+from . import binary_output, language_id, near_dedup, packing, token_counts, toxicity
 from .common import documents, fold
 
 
@@ -31,6 +31,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles are alike to 80 percent."""
+    return near_dedup.near_duplicates(documents(spark, sf_dir), size=4)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; the held-out quarter isn't learned from."""
     docs = documents(spark, sf_dir)
@@ -47,8 +52,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_packed_ids": op2_packed_ids,
     "op3_toxicity": op3_toxicity,
+    "op4_near_dedup": op4_near_dedup,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_near_dedup": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+shingled AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  FROM words),
+sets AS (SELECT min(doc_id) AS id, s, len(s) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM shingled WHERE len(s) > 0) GROUP BY s),
+pieces AS (SELECT id, n, unnest(s) AS p FROM sets),
+pairs AS (
+  SELECT a.id AS a, b.id AS b FROM pieces a JOIN pieces b ON a.p = b.p AND a.id < b.id
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach(id, r) AS (SELECT id, id FROM sets UNION SELECT l.b, reach.r FROM reach JOIN links l ON l.a = reach.id WHERE reach.r < l.b),
+least AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(l.component_id, d.doc_id) AS component_id, d.doc_id = coalesce(l.component_id, d.doc_id) AS kept
+FROM shingled d LEFT JOIN sets ON sets.s = list_sort(d.s) AND len(d.s) > 0 LEFT JOIN least l ON l.id = sets.id
+""",
+}

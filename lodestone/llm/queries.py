@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, language_id, near_dedup, packing, token_counts, toxicity
+from . import binary_output, language_id, near_dedup, packing, token_counts, toxicity, winnowing
 from .common import documents, fold
 
 
@@ -36,6 +36,11 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), size=4)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowed fingerprints of every text and its edited text, with likenesses."""
+    return winnowing.edited_fingerprints(documents(spark, sf_dir))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; the held-out quarter isn't learned from."""
     docs = documents(spark, sf_dir)
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packed_ids": op2_packed_ids,
     "op3_toxicity": op3_toxicity,
     "op4_near_dedup": op4_near_dedup,
+    "op5_fingerprints": op5_fingerprints,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }

@@ -148,29 +148,39 @@ class _Union:
 
 
 def _rest(buckets: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links within buckets (key, node, n, component) that join different components, found block by block."""
-    dealt = buckets.withColumn("part", F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("total") / block)).cast("int")))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("total") / block)).cast("int")
-    cells = dealt.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(F.least("part", i).alias("i"), F.greatest("part", i).alias("j")))))
-    rows = cells.select("key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "part", "node", "component").join(sets, "node")
+    """Links between components that meet in a bucket (key, node, component), found block by block.
+
+    In each bucket, the members outside its most frequent component are compared with all members: blocks of the former
+    by blocks of the latter, so a row travels once for each block of the other side.
+    """
+    tallies = buckets.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mains = tallies.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    rows = buckets.join(mains, "key").withColumns({"few": blocks(F.col("total") - F.col("most")), "all": blocks(F.col("total"))})
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = rows.where("component != main").withColumns({"i": own(F.col("few")), "side": F.lit(0)}).withColumn("j", each(F.col("all")))
+    right = rows.withColumns({"j": own(F.col("all")), "side": F.lit(1)}).withColumn("i", each(F.col("few")))
+    names = ["key", "i", "j", "side", "node", "component"]
+    cells = left.select(names).unionByName(right.select(names)).join(sets, "node")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("node")
         at = _Union(rows["component"].unique().tolist())
-        held = [(int(p), int(n), int(c), np.frombuffer(s, np.uint64)) for p, n, c, s in zip(rows["part"], rows["node"], rows["component"], rows["shingles"])]
-        one = rows["i"].iloc[0] == rows["j"].iloc[0]
+        held: list[list[tuple]] = [[], []]
+        for side, node, component, shingles in zip(rows["side"], rows["node"], rows["component"], rows["shingles"]):
+            held[side].append((int(node), int(component), np.frombuffer(shingles, np.uint64)))
         found = []
-        for x, (part, node, component, own) in enumerate(held):
-            for other, node2, component2, own2 in held[x + 1 :]:
-                if (one or part != other) and at.find(component) != at.find(component2) and alike(own, own2, percent):
+        for node, component, shingles in held[0]:
+            for other, component2, shingles2 in held[1]:
+                if at.find(component) != at.find(component2) and alike(shingles, shingles2, percent):
                     at.join(at.find(component), at.find(component2))
-                    found.append((node, node2))
+                    found.append((node, other))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+    return cells.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, block: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, block: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id that links reach), kept (doc_id = component_id) of every document."""
     signed = stored(signatures(docs, size, bands, rows), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
@@ -185,8 +195,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     links = stored(_verified(pairs, sets, percent), "verified")
     found = connected_components(links)
     open_buckets = shared.where("total > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = open_buckets.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    more = stored(_rest(open_buckets.join(several, "key"), sets, percent, block), "rest")
+    more = stored(_rest(open_buckets.select("key", "node", "component"), sets, percent, block), "rest")
     same_id = classes.groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("n > 1")
     twice = classes.join(same_id, "id").where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b"))
     other_ids = full.join(classes.select("digest", "digest2", "n_shingles", "node"), ["digest", "digest2", "n_shingles"]).select("doc_id", "n_shingles", "node")

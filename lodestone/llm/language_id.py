@@ -242,3 +242,20 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
         return pa.record_batch([batch["doc_id"], pa.array(names), pa.array(np.where(letters, posterior, 0.0))], names=["doc_id", "lang_pred", "score"])
 
     return texts(docs).mapInArrow(per_batch(score), "doc_id long, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
+    """The documents, columns and all, whose language is found with a score above ``least``."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    sent, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+    languages, schema = model.languages, docs.schema
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        column = [t or "" for t in batch["text"].to_pylist()]
+        logs = once_per_worker(key, lambda: Scorer(sent.value)).of_texts(column)
+        posterior = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+        letters = np.array([bool(_LETTER.search(t)) for t in column]) & bool(languages)
+        return batch.filter(pa.array(letters & ((posterior > least) | (len(languages) < 2))))
+
+    return docs.mapInArrow(per_batch(keep), schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, language_id, near_dedup, packing, token_counts, toxicity, winnowing
+from . import binary_output, language_id, mixing, near_dedup, packing, personal_data, token_counts, toxicity, winnowing
 from .common import documents, fold
 
 
@@ -41,6 +41,19 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_fingerprints(documents(spark, sf_dir))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus of as many tokens, with sources mixed to 95 percent of the largest entropy and four epochs at most."""
+    taken = mixing.mixed(documents(spark, sf_dir), evenness=0.95, most_epochs=4.0)
+    return taken.select("doc_id", "source", "n_tokens", "epoch", "block", F.round("weight", 9).alias("weight"), F.round("position", 9).alias("position"))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of what rules find, and all spans."""
+    found = personal_data.personal_spans(documents(spark, sf_dir))
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(personal_data.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(personal_data.written("base"), 256).alias("base_sha256"), personal_data.written("spans").alias("spans"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; the held-out quarter isn't learned from."""
     docs = documents(spark, sf_dir)
@@ -59,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_near_dedup": op4_near_dedup,
     "op5_fingerprints": op5_fingerprints,
+    "op6_source_mixing": op6_source_mixing,
+    "op7_personal_data": op7_personal_data,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }

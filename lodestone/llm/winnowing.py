@@ -159,9 +159,8 @@ def neighbours(docs: DataFrame) -> DataFrame:
     found = sorted(heads)
     first = placed.where(F.col("doc_id").isin([v for v in heads.values() if v is not None]) | F.col("doc_id").isNull())
     first = first.groupBy("place", "doc_id").agg(F.min("text").alias("text"))
-    target = F.lit(None).cast("int")
-    for i, p in enumerate(found):
-        target = F.when(F.col("place") == p, found[i - 1]).otherwise(target)
+    before = {p: found[i - 1] for i, p in enumerate(found)}
+    target = F.get(F.array(*[F.lit(before.get(p, 0)) for p in range(max(found, default=0) + 1)]), F.col("place"))
     extra = first.select("doc_id", "text", target.alias("place"), F.lit(1).alias("extra"))
     both = placed.withColumn("extra", F.lit(0)).unionByName(extra)
     return both.repartition(tasks, "place").sortWithinPartitions("place", "extra", F.col("doc_id").desc_nulls_last(), "text").select("place", "extra", "doc_id", "text")

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch: whole texts travel in them, so it is far below Spark's own default.
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 #: Bytes of an Arrow batch, where the Spark version has such a setting.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 16 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, name: str, most: int = 500_000) -> DataFrame:
+    """A stored table, marked for broadcast if it has at most ``most`` rows; beyond that Spark joins it by shuffle."""
+    kept = stored(df, name)
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def texts(docs: DataFrame, *also: str) -> DataFrame:
     """doc_id, text (null: empty) and further columns, whatever else the table has."""
     return docs.select(
@@ -56,7 +62,7 @@ def fold(modulus: int, column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
-def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int = 500) -> Callable:
+def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int = 250) -> Callable:
     """Turns a function of small record batches into one for mapInArrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +92,7 @@ class WordTable:
     At ``limit`` words the table starts anew, so its memory is bounded whatever the corpus holds.
     """
 
-    def __init__(self, fill: Callable[[list[str]], np.ndarray], limit: int = 600_000):
+    def __init__(self, fill: Callable[[list[str]], np.ndarray], limit: int = 200_000):
         self.fill, self.limit = fill, limit
         self.index: dict[str, int] = {}
         self.values: np.ndarray | None = None

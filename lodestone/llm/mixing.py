@@ -5,15 +5,14 @@ A source's weight is its share of tokens to the power of an exponent, normalised
 need be, until no source is repeated more than ``most_epochs`` times; each job evaluates the fifteen exponents of four
 halvings as sums over the sources. The weights are realised within a token budget: a source's documents are dealt into
 blocks by hash, every epoch permutes the blocks anew, and the last, partial epoch takes whole blocks in its order and,
-of the block where the budget ends, documents in the order of their hash. ``position`` runs from 0 to 1 through the
+of the block where the budget ends, the documents with the least hashes (equal ones together). ``position`` runs from 0 to 1 through the
 run, so that sorting by it interleaves the sources at their weights all the way.
 
 A source has at most ``MOST_BLOCKS`` blocks; windows hold the blocks of a source or the documents of one block, so a
 source with a third of all rows stays spread.
 
-Defined results: a null or empty text has no tokens and follows its block; a null source is a source of its own; equal
-hashes go by order of doc_id; rows that repeat a doc_id are taken each; an empty table gives an empty result; a corpus
-without tokens is taken once, whole; clashing columns pass through under their names.
+Defined results: a null or empty text has no tokens and follows its block; a null source is a source of its own; rows that repeat a doc_id are taken each; an empty table gives an empty result; a corpus
+without tokens is taken once, whole; columns named like the five that are added give way to them.
 """
 
 from __future__ import annotations
@@ -24,8 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import small, stored
+
 MOST_BLOCKS = 4096
-_OWN = ("_tokens", "_source", "_block", "_hash")
 
 
 def words(text: str = "text") -> Column:
@@ -58,13 +58,26 @@ def exponent(totals: DataFrame, evenness: float, most_epochs: float, budget: flo
     return (low + high) / 2
 
 
-def weights(docs: DataFrame, evenness: float, most_epochs: float, budget: float | None = None, whole: bool = False, tokens: Column | None = None) -> DataFrame:
-    """source, tokens, weight, epochs, blocks of every source.
+def counted(docs: DataFrame, tokens: Column | None, seed: int) -> DataFrame:
+    """What the plan needs of every row: its source, tokens and hash."""
+    return docs.select(_source(), (words() if tokens is None else tokens).alias("_tokens"), _hash(seed))
+
+
+def _source() -> Column:
+    return F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("_source")
+
+
+def _hash(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("_hash")
+
+
+def weights(rows: DataFrame, evenness: float, most_epochs: float, budget: float | None = None, whole: bool = False) -> DataFrame:
+    """_source, tokens, weight, epochs, blocks of every source of counted rows.
 
     budget: tokens of the result; without one, as many as the corpus has, or with ``whole`` as many as give each source
     one epoch at least.
     """
-    totals = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("_source")).agg(F.sum(words() if tokens is None else tokens).alias("tokens"), F.count("*").alias("rows"))
+    totals = stored(rows.groupBy("_source").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("rows")), "source-totals")
     a = exponent(totals.select("tokens"), evenness, most_epochs, budget)
     raised = totals.withColumn("raised", F.when(F.col("tokens") > 0, F.pow(F.col("tokens").cast("double"), F.lit(a))).otherwise(0.0))
     z, total, least = raised.agg(F.sum("raised"), F.sum("tokens"), F.min(F.when(F.col("tokens") > 0, F.col("raised") / F.col("tokens")))).first()
@@ -72,32 +85,36 @@ def weights(docs: DataFrame, evenness: float, most_epochs: float, budget: float
     wanted = budget if budget is not None else (z / least if whole and least else float(total))
     weight = F.col("raised") / F.lit(float(z))
     epochs = F.when(F.col("tokens") > 0, weight * F.lit(float(wanted)) / F.col("tokens")).otherwise(1.0)
-    return raised.select("_source", "tokens", weight.alias("weight"), F.round(epochs, 9).alias("epochs"), F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("rows") / 256)).cast("int").alias("blocks"))
+    return raised.select("_source", "tokens", weight.alias("_weight"), F.round(epochs, 9).alias("_epochs"), F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("rows") / 256)).cast("int").alias("_blocks"))
 
 
 def mixed(docs: DataFrame, evenness: float = 0.95, most_epochs: float = 4.0, budget: float | None = None, whole: bool = False, tokens: Column | None = None, seed: int = 17) -> DataFrame:
-    """The documents' rows, each as often as it is taken, with epoch, block, weight and position."""
-    count = words() if tokens is None else tokens
-    plan = weights(docs, evenness, most_epochs, budget, whole, tokens)
-    rows = docs.withColumn("_tokens", count).withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit("\0")))
-    rows = rows.withColumn("_hash", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")))
-    # a bounded number of sources makes this a broadcast; beyond its limit Spark joins by shuffle and splits hot sources
-    dealt = rows.join(plan, "_source").withColumn("_block", F.pmod("_hash", F.col("blocks")).cast("int"))
-    sizes = dealt.groupBy("_source", "_block").agg(F.sum("_tokens").alias("block_tokens"), F.max("epochs").alias("epochs"), F.max("tokens").alias("tokens"), F.max("blocks").alias("n_blocks"))
-    turns = sizes.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil("epochs").cast("int") - 1))))
+    """The documents' rows, each as often as it is taken, with n_tokens, epoch, block, weight and position.
+
+    Only counts and hashes are gathered by source and block; the plan of blocks then meets the documents in a join, and
+    no text is shuffled while the plan has a size that can be broadcast.
+    """
+    rows = stored(counted(docs, tokens, seed), "counted")
+    plan = small(weights(rows, evenness, most_epochs, budget, whole), "source-weights")
+    block = F.pmod("_hash", F.col("_blocks")).cast("int").alias("_block")
+    dealt = rows.join(plan.select("_source", "_blocks"), "_source").select("_source", block, "_tokens", "_hash")
+    sizes = dealt.groupBy("_source", "_block").agg(F.sum("_tokens").alias("size")).join(plan, "_source")
+    turns = sizes.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil("_epochs").cast("int") - 1))))
     order = W.partitionBy("_source", "epoch").orderBy(F.xxhash64(F.lit(seed), "_source", "_block", "epoch"), "_block")
-    ranked = turns.withColumns({"rank": F.row_number().over(order) - 1, "upto": F.sum("block_tokens").over(order.rowsBetween(W.unboundedPreceding, 0))})
-    left = F.round((F.col("epochs") - F.col("epoch")) * F.col("tokens"), 3)  # tokens that this epoch may have
-    room = F.when(F.col("epochs") - F.col("epoch") >= 1, F.lit(float("inf"))).otherwise(left - (F.col("upto") - F.col("block_tokens")))
-    taken = ranked.withColumn("room", room).where("room > 0 or block_tokens = 0 and epoch = 0")
-    part = taken.select("_source", "_block", "epoch", "rank", "n_blocks", "room", (F.col("room") >= F.col("block_tokens")).alias("entire"))
-    named = dealt.select(*docs.columns, "_tokens", "_source", "_block", "_hash", "weight", "epochs")
-    base = [c for c in docs.columns if c not in ("epoch", "block", "weight", "position")]
-    joined = named.select(*base, "_tokens", "_source", "_block", "_hash", F.col("weight").alias("_weight"), F.col("epochs").alias("_epochs")).join(part, ["_source", "_block"])
-    entire = joined.where("entire")
-    inside = W.partitionBy("_source", "_block", "epoch").orderBy("_hash", "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    cut = joined.where("not entire").withColumn("_upto", F.sum("_tokens").over(inside)).where("_upto <= room").drop("_upto")
-    both = entire.unionByName(cut)
+    ranked = turns.withColumns({"rank": F.row_number().over(order) - 1, "upto": F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))})
+    share = F.col("_epochs") - F.col("epoch")  # of an epoch that is still due
+    room = F.when(share >= 1, F.lit(float("inf"))).otherwise(F.round(share * F.col("tokens"), 3) - (F.col("upto") - F.col("size")))
+    taken = stored(ranked.withColumn("room", room).where("room > 0 or size = 0 and epoch = 0"), "turns")
+    entire = taken.where("room >= size").withColumn("_upper", F.lit((1 << 63) - 1))
+    inside = W.partitionBy("_source", "_block", "epoch").orderBy("_hash").rangeBetween(W.unboundedPreceding, 0)
+    open_blocks = dealt.join(taken.where("room < size").select("_source", "_block", "epoch", "room"), ["_source", "_block"])
+    upper = open_blocks.withColumn("upto", F.sum("_tokens").over(inside)).where("upto <= room").groupBy("_source", "_block", "epoch").agg(F.max("_hash").alias("_upper"))
+    split = taken.where("room < size").join(upper, ["_source", "_block", "epoch"])
+    names = ["_source", "_block", F.col("epoch").alias("_epoch"), "rank", "_weight", "_epochs", "_blocks", "_upper"]
+    schedule = small(entire.select(*names).unionByName(split.select(*names)), "schedule")
+    base = [c for c in docs.columns if c not in ("n_tokens", "epoch", "block", "weight", "position")]
+    keyed = docs.select(*base, (words() if tokens is None else tokens).alias("_tokens"), _source(), _hash(seed)).join(plan.select("_source", "_blocks"), "_source").select(*base, "_tokens", "_source", "_hash", block)
+    out = keyed.join(schedule, ["_source", "_block"]).where("_hash <= _upper")
     within = F.pmod("_hash", F.lit(1 << 20)) / F.lit(float(1 << 20))
-    position = (F.col("epoch") + (F.col("rank") + within) / F.col("n_blocks")) / F.greatest(F.ceil(F.col("_epochs")), F.lit(1))
-    return both.select(*base, F.col("_tokens").alias("n_tokens"), "epoch", F.col("_block").alias("block"), F.col("_weight").alias("weight"), position.alias("position"))
+    position = (F.col("_epoch") + (F.col("rank") + within) / F.col("_blocks")) / F.greatest(F.ceil(F.col("_epochs")), F.lit(1))
+    return out.select(*base, F.col("_tokens").alias("n_tokens"), F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_weight").alias("weight"), position.alias("position"))

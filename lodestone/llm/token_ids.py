@@ -26,7 +26,7 @@ _UNSAFE = re.compile(r"\s\s|\0|<\|")
 class IdEncoder:
     """Ids of texts; keeps the ids of up to ``limit`` parts."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -196,8 +196,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_doc
         return None
     dealt = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 20))
     share = F.when(F.col("toxic") == 1, min(1.0, fit_docs / n[1])).otherwise(min(1.0, fit_docs / n[0]))
+    # about twice fit_docs rows at most, so they can be broadcast and no text is shuffled
     marks = marks.where(dealt < share * (1 << 20)).withColumn("calibrate", F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(3)) == 0)
-    sample = stored(texts(docs).join(marks, "doc_id").select("doc_id", "text", "toxic", "calibrate"), "toxic-sample")
+    sample = stored(texts(docs).join(F.broadcast(marks), "doc_id").select("doc_id", "text", "toxic", "calibrate"), "toxic-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -42,16 +42,17 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = 30, block: int
                 if rows.empty:
                     continue
                 cosine = np.round(wanted @ _unit(np.stack(rows["embedding"].to_numpy())).T, 9)
-                at = np.argsort(-cosine, axis=1, kind="stable")[:, : 2 * k]
                 own = rows["vec_id"].to_numpy()
+                by_id = np.argsort(own, kind="stable")
+                own, cosine = own[by_id], cosine[:, by_id]  # ties then go by id
+                at = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
                 new = pd.DataFrame({"query_id": np.repeat(ids, at.shape[1]), "vec_id": own[at.ravel()], "cosine": np.take_along_axis(cosine, at, 1).ravel()})
                 best = new if best is None else pd.concat([best, new])
                 best = best.sort_values(["query_id", "cosine", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
             if best is not None:
                 yield best
 
-        own = vectors.select("vec_id", "embedding").orderBy("vec_id") if False else vectors.select("vec_id", "embedding")
-        out = own.mapInPandas(nearest, "query_id long, vec_id long, cosine double")
+        out = vectors.select("vec_id", "embedding").mapInPandas(nearest, "query_id long, vec_id long, cosine double")
         found = out if found is None else found.unionByName(out)
     if found is None:
         return queries.select(F.col("query_id").cast("long"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("cosine"), F.lit(0).alias("rank")).where("false")

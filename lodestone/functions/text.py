@@ -78,9 +78,13 @@ def words(text: Column) -> Column:
 
 def shingles(items: Column, size: int = 5) -> Column:
     """Distinct runs of ``size`` items, as text; all items as one where there are fewer."""
-    n = F.size(items)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(items, i, size), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+
+    def of(w: Column) -> Column:  # the words are bound to a name, else each run would split the text again
+        n = F.size(w)
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, size), " "))
+        return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+
+    return F.get(F.transform(F.array(items), of), F.lit(0))
 
 
 def containment(a: Column, b: Column) -> Column:

@@ -50,7 +50,7 @@ def test_fingerprint_windows():
 
 
 def test_rules_and_redaction(docs):
-    assert personal_data.rule_spans("x@y.com 10.0.0.1 4111111111111111 +1 (743) 555-3824") == [(0, 0, 7), (1, 8, 16), (2, 17, 33), (3, 34, 51)]
+    assert personal_data.rule_spans("x@y.com 10.0.0.1; 4111111111111111; +1 (743) 555-3824") == [(0, 0, 7), (1, 8, 16), (2, 18, 34), (3, 36, 53)]
     texts = {r.doc_id: r.text for r in personal_data.redact(docs).collect()}
     assert texts[None] == "call [PHONE] or [EMAIL] now" and texts[3] is None
 

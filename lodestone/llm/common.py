@@ -144,17 +144,17 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def word_hashes(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, lengths: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of texts, as UTF-8 bytes laid end to end, with A-Z lower-cased.
 
-    Words are runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage return;
-    none reaches over the end of a text. Returns the hashes in order and the number of words of each text.
+    Words are runs of bytes that ``apart`` doesn't mark: other than space, tab, line feed, vertical tab, form feed and
+    carriage return, unless it says otherwise; none reaches over the end of a text. Returns the hashes in order and the number of words of each text.
     """
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(lengths), np.int64)
     low = _LOWER[data]
-    word = ~_SPACE[low]
+    word = ~apart[low]
     first = np.zeros(n + 1, bool)
     ends = np.cumsum(lengths)
     first[ends - lengths] = True

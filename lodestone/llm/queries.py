@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, language_id, mixing, near_dedup, packing, personal_data, token_counts, toxicity, winnowing
+from . import binary_output, language_id, mixing, near_dedup, packing, personal_data, token_counts, topk_search, toxicity, winnowing
 from .common import documents, fold
 
 
@@ -54,6 +54,11 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(personal_data.written("base"), 256).alias("base_sha256"), personal_data.written("spans").alias("spans"))
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best other documents by BM25 for every document whose id is divisible by 20, against all."""
+    return topk_search.similar_documents(documents(spark, sf_dir), F.col("doc_id") % 20 == 0, k=10, most_terms=12)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; the held-out quarter isn't learned from."""
     docs = documents(spark, sf_dir)
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprints": op5_fingerprints,
     "op6_source_mixing": op6_source_mixing,
     "op7_personal_data": op7_personal_data,
+    "op8_topk_search": op8_topk_search,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
@@ -97,5 +103,25 @@ reach(id, r) AS (SELECT id, id FROM sets UNION SELECT l.b, reach.r FROM reach JO
 least AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
 SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(l.component_id, d.doc_id) AS component_id, d.doc_id = coalesce(l.component_id, d.doc_id) AS kept
 FROM shingled d LEFT JOIN sets ON sets.s = list_sort(d.s) AND len(d.s) > 0 LEFT JOIN least l ON l.id = sets.id
+""",
+    "op8_topk_search": r"""
+WITH words AS (
+  SELECT d, id, w, count(*) AS tf FROM (
+    SELECT row_number() OVER () AS d, doc_id AS id,
+      unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+')) AS w
+    FROM documents WHERE doc_id IS NOT NULL)
+  GROUP BY ALL),
+lengths AS (SELECT d, sum(tf) AS n FROM words GROUP BY d),
+corpus AS (SELECT (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL) AS docs, greatest(1.0, (SELECT sum(n) FROM lengths)::DOUBLE / greatest(1, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL))) AS mean),
+terms AS (SELECT w, ln(1 + (docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM words, corpus GROUP BY w, docs HAVING count(*) > 1),
+asked AS (
+  SELECT id, w, idf, row_number() OVER (PARTITION BY id ORDER BY round((1 + ln(tf)) * idf * 1000000)::BIGINT DESC, w) AS r
+  FROM (SELECT id, w, sum(tf) AS tf FROM words WHERE id % 20 = 0 GROUP BY id, w) JOIN terms USING (w)),
+hits AS (
+  SELECT a.id AS query_id, h.d, h.id AS doc_id, sum(round_even(1000000 * a.idf * h.tf * 2.2 / (h.tf + 1.2 * (0.25 + 0.75 * l.n / c.mean)), 0)::BIGINT) AS parts
+  FROM asked a JOIN words h USING (w) JOIN lengths l USING (d), corpus c
+  WHERE a.r <= 12 AND h.id <> a.id GROUP BY a.id, h.d, h.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY parts DESC, doc_id) AS rank FROM hits WHERE parts > 0)
+SELECT query_id, doc_id, (parts / 1000000.0)::DOUBLE AS score, rank FROM ranked WHERE rank <= 10
 """,
 }

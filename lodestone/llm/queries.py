@@ -59,6 +59,11 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.similar_documents(documents(spark, sf_dir), F.col("doc_id") % 20 == 0, k=10, most_terms=12)
 
 
+def op8_whole_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op8_topk_search, with every word of the asked documents that another one has."""
+    return topk_search.similar_documents(documents(spark, sf_dir), F.col("doc_id") % 20 == 0, k=10, most_terms=None)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; the held-out quarter isn't learned from."""
     docs = documents(spark, sf_dir)
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mixing": op6_source_mixing,
     "op7_personal_data": op7_personal_data,
     "op8_topk_search": op8_topk_search,
+    "op8_whole_text_search": op8_whole_text_search,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
@@ -123,5 +129,23 @@ hits AS (
   WHERE a.r <= 12 AND h.id <> a.id GROUP BY a.id, h.d, h.id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY parts DESC, doc_id) AS rank FROM hits WHERE parts > 0)
 SELECT query_id, doc_id, (parts / 1000000.0)::DOUBLE AS score, rank FROM ranked WHERE rank <= 10
+""",
+    "op8_whole_text_search": r"""
+WITH words AS (
+  SELECT d, id, w, count(*) AS tf FROM (
+    SELECT row_number() OVER () AS d, doc_id AS id,
+      unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+')) AS w
+    FROM documents WHERE doc_id IS NOT NULL)
+  GROUP BY ALL),
+lengths AS (SELECT d, sum(tf) AS n FROM words GROUP BY d),
+corpus AS (SELECT (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL) AS docs, greatest(1.0, (SELECT sum(n) FROM lengths)::DOUBLE / greatest(1, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL))) AS mean),
+terms AS (SELECT w, ln(1 + (docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM words, corpus GROUP BY w, docs HAVING count(*) > 1),
+asked AS (SELECT id, w, idf FROM (SELECT DISTINCT id, w FROM words WHERE id % 20 = 0) JOIN terms USING (w)),
+hits AS (
+  SELECT a.id AS query_id, h.d, h.id AS doc_id, sum(round_even(1000000 * a.idf * h.tf * 2.2 / (h.tf + 1.2 * (0.25 + 0.75 * l.n / c.mean)), 0)::BIGINT) AS parts
+  FROM asked a JOIN words h USING (w) JOIN lengths l USING (d), corpus c
+  WHERE h.id <> a.id GROUP BY a.id, h.d, h.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY parts DESC, doc_id) AS rank FROM hits WHERE parts > 0)
+SELECT query_id, doc_id, (parts / 1000000.0)::DOUBLE AS score, rank FROM ranked WHERE rank <= 10
 """,
 }

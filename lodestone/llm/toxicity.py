@@ -7,8 +7,9 @@ of log-likelihoods is length-normalised, per character, over the whole text and
 ``window`` words (a single word by default: an insult in a long text); a logistic calibration of both gives the score.
 
 Counts and calibration come from a bounded sample of labelled rows: at most ``fit_docs`` of each class, taken by a hash
-of the id, two thirds for the counts and one third for the calibration. Executors count; the driver gets the distinct
-n-grams of that sample.
+of the id, two thirds for the counts and one third for the calibration. A row of the calibration weighs as many rows as
+it stands for, so the score is a probability at the labels' own share of toxic rows, however many are sampled. Executors
+count; the driver gets the distinct n-grams of that sample.
 
 Defined results: null or empty text, and text without letters, has both differences 0 and the score that calibration
 gives them; without labels of both classes every score is 0; repeated rows give repeated results; labels that
@@ -171,16 +172,17 @@ def probability(features: np.ndarray, weights: tuple[float, float, float]) -> np
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def calibrated(features: np.ndarray, toxic: np.ndarray, penalty: float = 1e-5, rounds: int = 60) -> tuple[float, float, float]:
-    """Weights of a logistic fit by Newton's method, on scaled features with a small penalty."""
+def calibrated(features: np.ndarray, toxic: np.ndarray, stands_for: np.ndarray, penalty: float = 1e-5, rounds: int = 60) -> tuple[float, float, float]:
+    """Weights of a logistic fit by Newton's method, on scaled features with a small penalty; a row counts ``stands_for`` times."""
+    part = stands_for / stands_for.sum()
     scale = np.maximum(np.abs(features).max(axis=0), 1e-9)
     x = np.column_stack([np.ones(len(features)), features / scale])
     w = np.zeros(3)
     ridge = penalty * np.diag([1e-3, 1, 1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        slope = x.T @ (toxic - p) / len(x) - ridge @ w
-        bend = (x.T * (p * (1 - p) + 1e-9)) @ x / len(x) + ridge
+        slope = x.T @ (part * (toxic - p)) - ridge @ w
+        bend = (x.T * (part * (p * (1 - p) + 1e-9))) @ x + ridge
         w = w + np.clip(np.linalg.solve(bend, slope), -5, 5)
     return float(w[0]), float(w[1] / scale[0]), float(w[2] / scale[1])
 
@@ -195,7 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_doc
     if len(n) < 2:
         return None
     dealt = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 20))
-    share = F.when(F.col("toxic") == 1, min(1.0, fit_docs / n[1])).otherwise(min(1.0, fit_docs / n[0]))
+    rates = [min(1.0, fit_docs / n[c]) for c in (0, 1)]
+    share = F.when(F.col("toxic") == 1, rates[1]).otherwise(rates[0])
     # about twice fit_docs rows at most, so they can be broadcast and no text is shuffled
     marks = marks.where(dealt < share * (1 << 20)).withColumn("calibrate", F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(3)) == 0)
     sample = stored(texts(docs).join(F.broadcast(marks), "doc_id").select("doc_id", "text", "toxic", "calibrate"), "toxic-sample")
@@ -218,7 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_doc
     held = _features(sample.where("calibrate"), draft, False, "toxic").toPandas()
     if held["toxic"].nunique() < 2:
         held = _features(sample, draft, False, "toxic").toPandas()
-    weights = calibrated(held[["mean", "peak"]].to_numpy(), held["toxic"].to_numpy())
+    toxic = held["toxic"].to_numpy()
+    weights = calibrated(held[["mean", "peak"]].to_numpy(), toxic, 1 / np.array(rates)[toxic])
     return ToxicityModel(levels, draft.discount, weights, window)
 
 

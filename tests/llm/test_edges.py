@@ -87,6 +87,12 @@ def test_winnowing_takes_the_rightmost_least():
     assert winnowing.kept(hashes, 7).tolist() == plain
 
 
+def test_short_texts_are_like_their_edited_text(spark):
+    rows = [(i, "".join(chr(97 + (i * 31 + j * j * 7 + j // 3) % 26) for j in range(62 + i))) for i in range(190)]
+    found = winnowing.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == 190 and min(r.near_edited for r in found) > 0
+
+
 def test_near_duplicates_equal_comparing_all(spark):
     rng = np.random.default_rng(4)
     base = [[f"w{x}" for x in rng.integers(0, 60, 40)] for _ in range(12)]

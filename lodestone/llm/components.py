@@ -2,6 +2,9 @@
 
 Every round is two aggregations and joins on node ids; no node's neighbours are ever gathered. A round's links are
 written to the shared folder, so the lineage stays short and lost executors cost one round at most.
+
+Defined results: links with a null end, and from a node to itself, are left out; repeated links count once, in either
+direction; nodes without a link are in no component; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

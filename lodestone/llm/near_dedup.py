@@ -7,7 +7,7 @@
 4. Links are verified on the full sets, which are hashed anew from the texts of the documents concerned.
 5. Links become components (see components.py). A bucket that still holds several components after that had members
    that are not like its least one; all its members are then compared with one another in blocks of ``block``
-   members, block by block, in numpy: only links that hold and join different components leave the task. This goes on
+   members, or fewer if their sets are large, block by block, in numpy: only links that hold and join different components leave the task. This goes on
    over all such buckets, so no candidate pair is dropped; sizes that rule a pair out are skipped.
 
 With 32 bands of 5 minima a pair at the threshold of 0.8 meets in no bucket with probability 3e-6, and one at 0.9 with
@@ -16,7 +16,7 @@ probability 2e-13. Hashes of words and shingles have 64 bits.
 Defined results: null text, or text without words, has an empty set and is linked with nothing; fewer words than
 ``size`` are one shingle; of equal documents the least id stays; rows that repeat a doc_id share its component, and
 where their texts differ, each text's links count for the id; a null doc_id gets a row of its own, with no component
-but itself (null), and is kept; an empty table gives an empty result; other columns are ignored.
+but itself (null), and is kept; a very long text has a set like any other, and blocks are cut by the size of sets; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, flat_utf8, mix64, stored, texts, word_hashes
+from .common import bound_batches, flat_utf8, mix64, small, stored, texts, word_hashes
 from .components import connected_components
 
 _SIGNED = np.int64
+#: A bucket with more members meets its totals without a shuffle by its key.
+HOT = 512
+#: Shingles of the members of a block that are compared in one task, about: 8 bytes each.
+BLOCK_SHINGLES = 1_000_000
 
 
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -147,16 +151,31 @@ class _Union:
         self.root[max(a, b)] = min(a, b)
 
 
+def _with_totals(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    """Rows (key, ...) with what totals (key, total, ...; a written table) say of their keys.
+
+    Keys with many rows are few, as each has more than ``HOT`` of them: they go to every task, while that table is small
+    enough to be sent, and their rows stay where they are. Only the other keys' rows are shuffled.
+    """
+    hot = small(totals.where(F.col("total") > HOT), "hot-keys")
+    cold = totals.where(F.col("total") <= HOT)
+    return rows.join(hot, "key").unionByName(rows.join(hot.select("key"), "key", "left_anti").join(cold, "key"))
+
+
 def _rest(buckets: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links between components that meet in a bucket (key, node, component), found block by block.
+    """Links between components that meet in a bucket (key, node, n_shingles, component), found block by block.
 
     In each bucket, the members outside its most frequent component are compared with all members: blocks of the former
-    by blocks of the latter, so a row travels once for each block of the other side.
+    by blocks of the latter, so a row travels once for each block of the other side. A block has about ``block`` members,
+    or fewer if their sets are large.
     """
-    tallies = buckets.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mains = tallies.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
-    blocks = lambda n: F.ceil(n / block).cast("int")
-    rows = buckets.join(mains, "key").withColumns({"few": blocks(F.col("total") - F.col("most")), "all": blocks(F.col("total"))})
+    tallies = buckets.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    main = F.max(F.struct("n", "component", "weight"))
+    mains = tallies.groupBy("key").agg(main.alias("main"), F.sum("n").alias("total"), F.sum("weight").alias("weight"), F.count("*").alias("kinds")).where("kinds > 1")
+    mains = stored(mains.select("key", "total", "weight", F.col("main.component").alias("main"), F.col("main.n").alias("most"), F.col("main.weight").alias("heaviest")), "open-buckets")
+    blocks = lambda n, weight: F.greatest(F.ceil(n / block), F.ceil(weight / BLOCK_SHINGLES)).cast("int")
+    few = blocks(F.col("total") - F.col("most"), F.col("weight") - F.col("heaviest"))
+    rows = _with_totals(buckets, mains).withColumns({"few": few, "all": blocks(F.col("total"), F.col("weight"))})
     own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = rows.where("component != main").withColumns({"i": own(F.col("few")), "side": F.lit(0)}).withColumn("j", each(F.col("all")))
@@ -187,15 +206,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     classes = stored(full.groupBy("digest", "digest2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")).withColumn("node", F.xxhash64("id", "digest", "digest2")), "classes")
     members = classes.select("id", "digest", "digest2", "node")
     buckets = classes.select("node", "n_shingles", F.explode("keys").alias("key"))
-    leaders = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("total")).where("total > 1")
-    shared = stored(buckets.join(leaders, "key"), "buckets")
+    leaders = stored(buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("total")).where("total > 1"), "leaders")
+    shared = stored(_with_totals(buckets, leaders), "buckets")
     pairs = shared.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = stored(_sets_of(docs, members.join(met, "node", "left_semi"), size), "sets")
     links = stored(_verified(pairs, sets, percent), "verified")
     found = connected_components(links)
     open_buckets = shared.where("total > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = stored(_rest(open_buckets.select("key", "node", "component"), sets, percent, block), "rest")
+    more = stored(_rest(open_buckets.select("key", "node", "n_shingles", "component"), sets, percent, block), "rest")
     same_id = classes.groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("n > 1")
     twice = classes.join(same_id, "id").where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b"))
     other_ids = full.join(classes.select("digest", "digest2", "n_shingles", "node"), ["digest", "digest2", "n_shingles"]).select("doc_id", "n_shingles", "node")

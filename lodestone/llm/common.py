@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import itertools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -29,17 +29,21 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (in tests) one of our own."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else has."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts the lineage and outlives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -50,6 +54,19 @@ def small(df: DataFrame, name: str, most: int = 500_000) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= most else kept
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of the table has, whatever their case."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def texts(docs: DataFrame, *also: str) -> DataFrame:
     """doc_id, text (null: empty) and further columns, whatever else the table has."""
     return docs.select(
@@ -89,7 +106,8 @@ class WordTable:
     """Values of words, each computed once for many batches.
 
     ``fill`` gets a list of new words and returns an array with one row for each.
-    At ``limit`` words the table starts anew, so its memory is bounded whatever the corpus holds.
+    At ``limit`` words it drops those that it got last but the older half: words that come back early in a corpus are
+    its frequent ones. So its memory is bounded whatever the corpus holds.
     """
 
     def __init__(self, fill: Callable[[list[str]], np.ndarray], limit: int = 200_000):
@@ -100,7 +118,7 @@ class WordTable:
     def rows(self, words: list[str]) -> np.ndarray:
         """The values of words, one row for each."""
         if len(self.index) > self.limit:
-            self.index, self.values = {}, None
+            self.index = dict(itertools.islice(self.index.items(), self.limit // 2))
         index = self.index
         new = [w for w in dict.fromkeys(words) if w not in index]
         if new or self.values is None:

@@ -2,7 +2,7 @@
 
 A source's weight is its share of tokens to the power of an exponent, normalised. The exponent is bisected between 0
 (all sources alike) and 1 (as they are) to reach a target evenness (entropy as a part of its maximum), and raised, if
-need be, until no source is repeated more than ``most_epochs`` times; each job evaluates the fifteen exponents of four
+need be, until no source is repeated more than ``most_epochs`` times in the budget that is really used; each job evaluates the fifteen exponents of four
 halvings as sums over the sources. The weights are realised within a token budget: a source's documents are dealt into
 blocks by hash, every epoch permutes the blocks anew, and the last, partial epoch takes whole blocks in its order and,
 of the block where the budget ends, the documents with the least hashes (equal ones together). ``position`` runs from 0 to 1 through the
@@ -12,7 +12,8 @@ A source has at most ``MOST_BLOCKS`` blocks; windows hold the blocks of a source
 source with a third of all rows stays spread.
 
 Defined results: a null or empty text has no tokens and follows its block; a null source is a source of its own; rows that repeat a doc_id are taken each; an empty table gives an empty result; a corpus
-without tokens is taken once, whole; columns named like the five that are added give way to them.
+without tokens is taken once, whole; a very long text is taken whole, or not at all; rows with equal hashes are taken
+together; a budget or limit that can't be kept raises an error; columns named like the five that are added give way to them.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import fresh, small, stored
 
 MOST_BLOCKS = 4096
 
@@ -33,8 +34,12 @@ def words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-def exponent(totals: DataFrame, evenness: float, most_epochs: float, budget: float | None) -> float:
-    """The exponent for totals (source, tokens): bisected, four halvings a job."""
+def exponent(totals: DataFrame, evenness: float, most_epochs: float, budget: float | None, whole: bool = False) -> float:
+    """The exponent for totals (source, tokens): bisected, four halvings a job.
+
+    With ``whole`` the budget gives the source that is repeated least one epoch, so the others' epochs are the ratios of
+    theirs to its own; at an exponent of 1 all are one, so a limit of 1 or more can always be kept.
+    """
     p = totals.where("tokens > 0")
     total, n = p.agg(F.sum("tokens"), F.count("*")).first()
     if not total or n < 2:
@@ -45,17 +50,17 @@ def exponent(totals: DataFrame, evenness: float, most_epochs: float, budget: flo
         points = [low + (high - low) * i / 16 for i in range(1, 16)]
         sums = []
         for a in points:
-            sums += [F.sum(F.pow(share, F.lit(a))), F.sum(F.pow(share, F.lit(a)) * F.log(share)), F.max(F.pow(share, F.lit(a)) / F.col("tokens"))]
+            sums += [F.sum(F.pow(share, F.lit(a))), F.sum(F.pow(share, F.lit(a)) * F.log(share)), F.max(F.pow(share, F.lit(a)) / F.col("tokens")), F.min(F.pow(share, F.lit(a)) / F.col("tokens"))]
         row = p.agg(*[s.alias(f"c{i}") for i, s in enumerate(sums)]).first()
         below = 0  # points at which the weights are still too even or a source repeats too often
         for i, a in enumerate(points):
-            z, slope, ratio = row[3 * i : 3 * i + 3]
+            z, slope, ratio, least = row[4 * i : 4 * i + 4]
             entropy = math.log(z) - a * slope / z
-            epochs = ratio / z * (total if budget is None else budget)
+            epochs = ratio / least if whole else ratio / z * (total if budget is None else budget)
             if entropy > evenness * math.log(n) or epochs > most_epochs:
                 below = i + 1
         low, high = (points[below - 1] if below else low), (points[below] if below < 15 else high)
-    return (low + high) / 2
+    return high  # the side on which the limits hold
 
 
 def counted(docs: DataFrame, tokens: Column | None, seed: int) -> DataFrame:
@@ -78,10 +83,16 @@ def weights(rows: DataFrame, evenness: float, most_epochs: float, budget: float
     one epoch at least.
     """
     totals = stored(rows.groupBy("_source").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("rows")), "source-totals")
-    a = exponent(totals.select("tokens"), evenness, most_epochs, budget)
+    if whole and budget is not None:
+        raise ValueError("a budget of tokens and every document at least once can't both be asked for")
+    if whole and most_epochs < 1:
+        raise ValueError("with every document at least once, most_epochs is 1 or more")
+    a = exponent(totals.select("tokens"), evenness, most_epochs, budget, whole)
     raised = totals.withColumn("raised", F.when(F.col("tokens") > 0, F.pow(F.col("tokens").cast("double"), F.lit(a))).otherwise(0.0))
     z, total, least = raised.agg(F.sum("raised"), F.sum("tokens"), F.min(F.when(F.col("tokens") > 0, F.col("raised") / F.col("tokens")))).first()
     z, total = z or 1.0, total or 0
+    if budget is not None and total and budget > most_epochs * total:
+        raise ValueError(f"a budget of {budget} repeats {total} tokens more than {most_epochs} times")
     wanted = budget if budget is not None else (z / least if whole and least else float(total))
     weight = F.col("raised") / F.lit(float(z))
     epochs = F.when(F.col("tokens") > 0, weight * F.lit(float(wanted)) / F.col("tokens")).otherwise(1.0)
@@ -113,8 +124,13 @@ def mixed(docs: DataFrame, evenness: float = 0.95, most_epochs: float = 4.0, bud
     names = ["_source", "_block", F.col("epoch").alias("_epoch"), "rank", "_weight", "_epochs", "_blocks", "_upper"]
     schedule = small(entire.select(*names).unionByName(split.select(*names)), "schedule")
     base = [c for c in docs.columns if c not in ("n_tokens", "epoch", "block", "weight", "position")]
-    keyed = docs.select(*base, (words() if tokens is None else tokens).alias("_tokens"), _source(), _hash(seed)).join(plan.select("_source", "_blocks"), "_source").select(*base, "_tokens", "_source", "_hash", block)
-    out = keyed.join(schedule, ["_source", "_block"]).where("_hash <= _upper")
-    within = F.pmod("_hash", F.lit(1 << 20)) / F.lit(float(1 << 20))
-    position = (F.col("_epoch") + (F.col("rank") + within) / F.col("_blocks")) / F.greatest(F.ceil(F.col("_epochs")), F.lit(1))
-    return out.select(*base, F.col("_tokens").alias("n_tokens"), F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_weight").alias("weight"), position.alias("position"))
+    helpers = ["_source", "_block", "_tokens", "_hash", "_epoch", "rank", "_weight", "_epochs", "_blocks", "_upper"]
+    h = dict(zip(helpers, fresh(docs.select(*base), *helpers)))
+    n_tokens = words() if tokens is None else tokens
+    keyed = docs.select(*base, n_tokens.alias(h["_tokens"]), _source().alias(h["_source"]), _hash(seed).alias(h["_hash"]))
+    keyed = keyed.join(plan.select("_source", "_blocks").withColumnsRenamed(h), h["_source"])
+    keyed = keyed.withColumn(h["_block"], F.pmod(h["_hash"], h["_blocks"]).cast("int")).drop(h["_blocks"])
+    out = keyed.join(schedule.withColumnsRenamed(h), [h["_source"], h["_block"]]).where(F.col(h["_hash"]) <= F.col(h["_upper"]))
+    within = F.pmod(h["_hash"], F.lit(1 << 20)) / F.lit(float(1 << 20))
+    position = (F.col(h["_epoch"]) + (F.col(h["rank"]) + within) / F.col(h["_blocks"])) / F.greatest(F.ceil(F.col(h["_epochs"])), F.lit(1))
+    return out.select(*base, F.col(h["_tokens"]).alias("n_tokens"), F.col(h["_epoch"]).alias("epoch"), F.col(h["_block"]).alias("block"), F.col(h["_weight"]).alias("weight"), position.alias("position"))

@@ -7,7 +7,7 @@ nodes count open sequences. A row is one sequence: its ids padded to ``capacity`
 segment lengths (from 0), where positions restart, and from which document and where in it each segment comes.
 
 Defined results: null or empty text is a segment of the end id alone; ties go by order of arrival; repeated rows are
-packed each; an empty table gives no sequence; columns other than doc_id and text are ignored.
+packed each; a very long text is cut into full pieces and a rest, in order; an empty table gives no sequence; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -70,15 +70,22 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def packed_sequences(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1, pad_id: int = 0, id_type: str = "<u2", block_tokens: int = 4_000_000) -> DataFrame:
-    """One row for each packed sequence. ``id_type``: numpy name of the ids' little-endian type."""
+    """One row for each packed sequence. ``id_type``: numpy name of the ids' little-endian type; an id beyond it is an error.
+
+    Positions have two bytes while the capacity allows, else four.
+    """
     bound_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
+    most = np.iinfo(id_type).max
+    if max(end_id, pad_id) > most:
+        raise ValueError(f"ids {end_id} and {pad_id} don't fit {id_type}")
+    position_type = "<u2" if capacity <= 1 << 16 else "<u4"
 
     def emit(block: list[tuple[int | None, int, np.ndarray]], serial: int) -> pa.RecordBatch:
         block.sort(key=lambda x: -len(x[2]))
         rows = []
         for n, members in enumerate(best_fit_decreasing([len(x[2]) for x in block], capacity)):
-            ids, positions = np.full(capacity, pad_id, id_type), np.zeros(capacity, "<u2")
+            ids, positions = np.full(capacity, pad_id, id_type), np.zeros(capacity, position_type)
             cuts = [0]
             for i in members:
                 part = block[i][2]
@@ -96,7 +103,10 @@ def packed_sequences(docs: DataFrame, vocabulary: str, capacity: int = 2048, end
             for at in range(0, batch.num_rows, 200):
                 some = batch.slice(at, 200)
                 for doc, raw in zip(some["doc_id"].to_pylist(), encoder(vocabulary).of_texts(some["text"].to_pylist())):
-                    ids = np.frombuffer(raw + end, "<u4").astype(id_type)
+                    ids = np.frombuffer(raw + end, "<u4")
+                    if ids.max() > most:
+                        raise ValueError(f"id {ids.max()} doesn't fit {id_type}: ask for a wider id_type")
+                    ids = ids.astype(id_type)
                     for start in range(0, len(ids), capacity):
                         block.append((doc, start, ids[start : start + capacity]))
                     held += len(ids)
@@ -113,9 +123,10 @@ def packed_sequences(docs: DataFrame, vocabulary: str, capacity: int = 2048, end
     return texts(docs).mapInArrow(run, _DDL)
 
 
-def write_packed(sequences: DataFrame, path: str) -> None:
-    """Writes sequences as Parquet: a row for each line of the id matrix."""
+def write_packed(sequences: DataFrame, path: str) -> DataFrame:
+    """Writes sequences as Parquet, a row for each line of the id matrix, and gives the table as written."""
     sequences.write.mode("errorifexists").parquet(path)
+    return sequences.sparkSession.read.schema(sequences.schema).parquet(path)
 
 
 def packed_digest(sequences: DataFrame) -> DataFrame:

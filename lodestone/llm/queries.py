@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import binary_output, language_id, mixing, near_dedup, packing, personal_data, token_counts, topk_search, toxicity, winnowing
-from .common import documents, fold
+from .common import documents, fold, shared_path
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +19,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packed id matrices of all documents, with checksums in place of the matrices' lines."""
-    return binary_output.packed_digest(binary_output.packed_sequences(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
+    """Packed id matrices of all documents, written to the shared folder; of each line, what was written and checksums."""
+    sequences = binary_output.packed_sequences(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return binary_output.packed_digest(binary_output.write_packed(sequences, shared_path(spark, "packed-ids")))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,18 +51,17 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: counts and digest of what rules find, and all spans."""
     found = personal_data.personal_spans(documents(spark, sf_dir))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(personal_data.KINDS)]
-    return found.select("doc_id", *counts, F.sha2(personal_data.written("base"), 256).alias("base_sha256"), personal_data.written("spans").alias("spans"))
 
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
 
-def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best other documents by BM25 for every document whose id is divisible by 20, against all."""
-    return topk_search.similar_documents(documents(spark, sf_dir), F.col("doc_id") % 20 == 0, k=10, most_terms=12)
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(personal_data.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(personal_data.written("base"), 256).alias("base_sha256"), personal_data.written("spans").alias("spans"))
 
 
-def op8_whole_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op8_topk_search, with every word of the asked documents that another one has."""
-    return topk_search.similar_documents(documents(spark, sf_dir), F.col("doc_id") % 20 == 0, k=10, most_terms=None)
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best other documents by BM25 for every document whose id is divisible by 20, against all: by its whole text."""
+    return topk_search.similar_documents(documents(spark, sf_dir), F.col("doc_id") % 20 == 0, k=10)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mixing": op6_source_mixing,
     "op7_personal_data": op7_personal_data,
     "op8_topk_search": op8_topk_search,
-    "op8_whole_text_search": op8_whole_text_search,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
@@ -120,26 +119,6 @@ WITH words AS (
 lengths AS (SELECT d, sum(tf) AS n FROM words GROUP BY d),
 corpus AS (SELECT (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL) AS docs, greatest(1.0, (SELECT sum(n) FROM lengths)::DOUBLE / greatest(1, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL))) AS mean),
 terms AS (SELECT w, ln(1 + (docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM words, corpus GROUP BY w, docs HAVING count(*) > 1),
-asked AS (
-  SELECT id, w, idf, row_number() OVER (PARTITION BY id ORDER BY round((1 + ln(tf)) * idf * 1000000)::BIGINT DESC, w) AS r
-  FROM (SELECT id, w, sum(tf) AS tf FROM words WHERE id % 20 = 0 GROUP BY id, w) JOIN terms USING (w)),
-hits AS (
-  SELECT a.id AS query_id, h.d, h.id AS doc_id, sum(round_even(1000000 * a.idf * h.tf * 2.2 / (h.tf + 1.2 * (0.25 + 0.75 * l.n / c.mean)), 0)::BIGINT) AS parts
-  FROM asked a JOIN words h USING (w) JOIN lengths l USING (d), corpus c
-  WHERE a.r <= 12 AND h.id <> a.id GROUP BY a.id, h.d, h.id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY parts DESC, doc_id) AS rank FROM hits WHERE parts > 0)
-SELECT query_id, doc_id, (parts / 1000000.0)::DOUBLE AS score, rank FROM ranked WHERE rank <= 10
-""",
-    "op8_whole_text_search": r"""
-WITH words AS (
-  SELECT d, id, w, count(*) AS tf FROM (
-    SELECT row_number() OVER () AS d, doc_id AS id,
-      unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+')) AS w
-    FROM documents WHERE doc_id IS NOT NULL)
-  GROUP BY ALL),
-lengths AS (SELECT d, sum(tf) AS n FROM words GROUP BY d),
-corpus AS (SELECT (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL) AS docs, greatest(1.0, (SELECT sum(n) FROM lengths)::DOUBLE / greatest(1, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL))) AS mean),
-terms AS (SELECT w, ln(1 + (docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM words, corpus GROUP BY w, docs HAVING count(*) > 1),
 asked AS (SELECT id, w, idf FROM (SELECT DISTINCT id, w FROM words WHERE id % 20 = 0) JOIN terms USING (w)),
 hits AS (
   SELECT a.id AS query_id, h.d, h.id AS doc_id, sum(round_even(1000000 * a.idf * h.tf * 2.2 / (h.tf + 1.2 * (0.25 + 0.75 * l.n / c.mean)), 0)::BIGINT) AS parts

@@ -36,7 +36,7 @@ NEGATIONS = ["not", "no", "never", "cannot", "neither", "nor", "without", "none"
 QUALIFIERS = ["if", "unless", "only", "provided", "assuming", "requires", "must", "always", "approximately", "roughly", "least", "most", "before", "after", "when"]
 CONTINUATIONS = ["however", "therefore", "thus", "hence", "consequently", "moreover", "furthermore", "instead", "conversely", "similarly", "nevertheless", "nonetheless", "meanwhile", "otherwise", "accordingly", "besides"]
 REFERENCES = ["this", "these", "that", "those", "it", "its", "they", "them", "their", "such", "he", "she", "his", "her"]
-CAPTION = r"(?i)^\s*(fig(?:ure)?|table|tbl|chart|diagram|exhibit|plate|scheme)\s*\.?\s*([A-Z]?\.?\d+(?:[.\-]\d+)*[a-z]?)(?:\W|$)"
+CAPTION = r"(?i)^\s*(fig(?:ure)?|table|tbl|chart|diagram|exhibit|plate|scheme)\s*\.?\s*([A-Z]?\.?\d+(?:[.\-]\d+)*[a-z]?)(?!\w)"
 LIST_MARKER = r"^\s*(?:[-•*·‣▪◦–—]\s|\(?\d{1,3}[.)]\s|\(?[a-zA-Z][.)]\s|\(?[ivxlcdm]{1,5}[.)]\s)"
 MATHEMATICAL = "∑∫∂√∇±×÷≤≥≠≈≡∞∝⊂⊆⊃⊇∈∉∀∃∧∨¬→←↔⇒⇔∪∩∅ƒΣΠΔΩαβγδεθλμνξπρστφχψω"
 CLASS_COUNTS = {
@@ -120,6 +120,15 @@ def element_type(text: Column, size_ratio: Column, bold: Column, lines: Column)
     return F.when(trimmed == "", "PARAGRAPH").when(trimmed.rlike(CAPTION), "CAPTION").when(trimmed.rlike(LIST_MARKER), "LIST").when(ratio >= 0.25, "FORMULA").when(heading, "HEADING").otherwise("PARAGRAPH")
 
 
+#: The pattern of captions for engines without look-ahead.
+CAPTION_SQL = CAPTION.replace(r"(?!\w)", r"(?:\W|$)")
+
+
+def caption_number(text: Column) -> Column:
+    """The number that a caption gives its object, or null."""
+    return F.when(caption_kind(text).isNotNull(), F.trim(F.regexp_extract(text, CAPTION, 2), F.lit(". ")))
+
+
 def caption_kind(text: Column) -> Column:
     word = F.lower(F.regexp_extract(text, CAPTION, 1))
     return F.when(word.isin("fig", "figure", "plate", "exhibit"), "FIGURE").when(word.isin("table", "tbl"), "TABLE").when(word == "chart", "CHART").when(word.isin("diagram", "scheme"), "DIAGRAM")

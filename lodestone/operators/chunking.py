@@ -15,29 +15,102 @@ def sections(elements: DataFrame, key: str, order: str, path: str) -> DataFrame:
     return marked.groupBy(key, "section").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("size"), F.first(path).alias("path"))
 
 
+def spread(starts: Column, n: Column) -> Column:
+    """The number of its run for each of n elements, from the runs' first places."""
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n))
+    return F.flatten(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x, k: F.array_repeat(k, x["b"] - x["a"])))
+
+
 def packed(sizes: Column, most: int) -> Column:
-    """The chunk number of every part when parts are filled greedily up to ``most``; a larger part stands alone."""
-    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("out"))
+    """The chunk number of every part when parts are filled greedily up to ``most``; a larger part stands alone.
+
+    The fold keeps the places where chunks open, so it copies an array once for each chunk, not for each part.
+    """
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts"))
 
     def step(state: Column, size: Column) -> Column:
-        fits = (state["used"] + size <= most) | (state["used"] == 0)
-        chunk = state["chunk"] + F.when(fits, 0).otherwise(1)
-        return F.struct(F.when(fits, state["used"] + size).otherwise(size).alias("used"), chunk.alias("chunk"), F.concat(state["out"], F.array(chunk)).alias("out"))
+        fits = (state["i"] > 0) & (state["used"] + size <= most)
+        opened = F.when(fits, state["starts"]).otherwise(F.concat(state["starts"], F.array(state["i"])))
+        return F.struct(F.when(fits, state["used"] + size).otherwise(size).alias("used"), (state["i"] + 1).alias("i"), opened.alias("starts"))
 
-    return F.aggregate(F.transform(sizes, lambda x: x.cast("int")), start, step, lambda state: state["out"])
+    return spread(F.aggregate(F.transform(sizes, lambda x: x.cast("int")), start, step, lambda state: state["starts"]), F.size(sizes))
 
 
 def parent_groups(sizes: Column, target: int = 1200, most: int = 1500) -> Column:
     """The group number of every element: closed before one that would pass ``most``, and after reaching ``target``."""
-    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("part"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.lit(target).alias("used"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts"))
 
     def step(state: Column, size: Column) -> Column:
-        over = (state["used"] > 0) & (state["used"] + size > most)
-        part = state["part"] + F.when(over, 1).otherwise(0)
-        used = F.when(over, size).otherwise(state["used"] + size)
-        return F.struct(F.when(used >= target, 0).otherwise(used).alias("used"), (part + F.when(used >= target, 1).otherwise(0)).alias("part"), F.concat(state["out"], F.array(part)).alias("out"))
+        opens = (state["used"] >= target) | (state["used"] + size > most)
+        opened = F.when(opens, F.concat(state["starts"], F.array(state["i"]))).otherwise(state["starts"])
+        return F.struct(F.when(opens, size).otherwise(state["used"] + size).alias("used"), (state["i"] + 1).alias("i"), opened.alias("starts"))
+
+    return spread(F.aggregate(F.transform(sizes, lambda x: x.cast("int")), start, step, lambda state: state["starts"]), F.size(sizes))
+
+
+def children(sizes: Column, standalone: Column, target: int = 400, overlap: int = 70) -> Column:
+    """first, last, alone of the children of a parent group, from its elements' sizes and whether they stand alone.
+
+    A standing element first closes what has gathered. Prose gathers until it reaches ``target``; the next child begins
+    with the last elements that fit ``overlap``, with one at least, but never with all of the child before, and what is carried over is a
+    child of its own if nothing follows.
+    """
+    upto = F.aggregate(sizes, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x.cast("int"))))
+    kind = "array<struct<first:int,last:int,alone:boolean>>"
+    none = F.array().cast(kind)
 
-    return F.aggregate(F.transform(sizes, lambda x: x.cast("int")), start, step, lambda state: state["out"])
+    def run(first: Column, last: Column, alone: bool) -> Column:
+        return F.array(F.struct(first.alias("first"), last.alias("last"), F.lit(alone).alias("alone"))).cast(kind)
+
+    def of(cum: Column) -> Column:
+        begin = F.struct(F.lit(-1).alias("open"), none.alias("out"))
+
+        def step(state: Column, i: Column) -> Column:
+            first = F.when(state["open"] < 0, i).otherwise(state["open"])
+            full = F.get(cum, i + 1) - F.get(cum, first) >= target
+            kept = F.array_min(F.filter(F.sequence(first + 1, i), lambda j: (F.get(cum, i + 1) - F.get(cum, j) <= overlap) | (j == i)))
+            carried = F.when((i > first) & F.lit(overlap > 0), kept).otherwise(F.lit(-1))
+            before = F.when(state["open"] < 0, none).otherwise(run(state["open"], i - 1, False))
+            prose = F.struct(F.when(full, carried).otherwise(first).alias("open"), F.when(full, F.concat(state["out"], run(first, i, False))).otherwise(state["out"]).alias("out"))
+            return F.when(F.get(standalone, i), F.struct(F.lit(-1).alias("open"), F.concat(state["out"], before, run(i, i, True)).alias("out"))).otherwise(prose)
+
+        n = F.size(sizes)
+        end = lambda s: F.when(s["open"] < 0, s["out"]).otherwise(F.concat(s["out"], run(s["open"], n - 1, False)))
+        return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), begin, step, end)).otherwise(none)
+
+    return F.get(F.transform(F.array(upto), of), F.lit(0))
+
+
+def chunk_rows(elements: DataFrame, keys: list[str], target: int = 400, overlap: int = 70) -> DataFrame:
+    """One row for each child of each parent group, with what its elements agree on.
+
+    elements: the group's keys, i (place), text, size, element_type, standalone, page, x0, y0, x1, y1. A child's box joins
+    its elements' where they are on one page; its type is theirs where they have one.
+    """
+    item = F.struct("i", "text", "size", "element_type", "standalone", "page", "x0", "y0", "x1", "y1")
+    groups = elements.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("e"))
+    runs = children(F.transform("e", lambda x: x["size"]), F.transform("e", lambda x: x["standalone"]), target, overlap)
+    each = groups.select(*keys, "e", F.posexplode(runs).alias("child", "run")).withColumn("m", F.slice("e", F.col("run.first") + 1, F.col("run.last") - F.col("run.first") + 1))
+    of = lambda c: F.transform("m", lambda x: x[c])
+    pages, kinds = F.array_distinct(of("page")), F.array_distinct(of("element_type"))
+    box = lambda how, c: F.when(F.size(pages) == 1, how(of(c)))
+    return each.select(
+        *keys, "child", F.get(of("i"), F.lit(0)).alias("first"), F.element_at(of("i"), -1).alias("last"), F.array_join(of("text"), "\n\n").alias("text"),
+        F.greatest(F.lit(1), F.aggregate(of("size"), F.lit(0), lambda s, x: s + x.cast("int"))).alias("tokens"),
+        F.when(F.col("run.alone"), F.get(of("element_type"), F.lit(0))).otherwise("TEXT").alias("chunk_type"), F.when(F.size(kinds) == 1, F.get(kinds, F.lit(0))).alias("element_type"),
+        F.array_min(of("page")).alias("page_start"), F.array_max(of("page")).alias("page_end"),
+        box(F.array_min, "x0").alias("x0"), box(F.array_min, "y0").alias("y0"), box(F.array_max, "x1").alias("x1"), box(F.array_max, "y1").alias("y1"),
+    )
+
+
+def pieces(parts: Column, sizes: Column, most: int, mark: str, anchor: bool = False) -> Column:
+    """Parts filled greedily into texts of at most ``most``; with ``anchor``, the first part opens every text behind the first."""
+    chunk = packed(sizes, most)
+    numbered = F.arrays_zip(parts.alias("part"), chunk.alias("chunk"))
+    texts = lambda z: F.transform(F.sequence(F.lit(0), F.array_max(chunk)), lambda k: F.array_join(F.transform(F.filter(z, lambda x: x["chunk"] == k), lambda x: x["part"]), mark))
+    found = F.get(F.transform(F.array(numbered), texts), F.lit(0))
+    out = F.transform(found, lambda t, k: F.when(k > 0, F.concat(F.get(parts, F.lit(0)), F.lit(mark), t)).otherwise(t)) if anchor else found
+    return F.when(F.size(parts) > 0, out).otherwise(F.array().cast("array<string>"))
 
 
 def heading_paths(headings: Column) -> Column:

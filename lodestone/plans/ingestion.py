@@ -98,7 +98,7 @@ def text_lines(spark, sf_dir):
 
 _GUTTERS = f"""SELECT page, start::DOUBLE AS start, stop::DOUBLE AS stop FROM (
 SELECT page, "left" AS stop, max("right") OVER (PARTITION BY page ORDER BY "left", "right", box_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start, min("left") OVER (PARTITION BY page) AS a, max("right") OVER (PARTITION BY page) AS z
-FROM (SELECT *, quantile_cont("right" - "left", 0.5) OVER (PARTITION BY page) AS mid FROM ({_BOXES})) WHERE "right" - "left" <= 1.5 * mid)
+FROM (SELECT *, list_sort(list("right" - "left") OVER (PARTITION BY page))[count(*) OVER (PARTITION BY page) // 2 + 1] AS mid FROM ({_BOXES})) WHERE "right" - "left" <= 1.5 * mid)
 WHERE stop - start >= 24 AND start - a >= 90 AND z - stop >= 90"""
 
 
@@ -121,7 +121,7 @@ def reading_order(spark, sf_dir):
 _LINES = "SELECT source AS document, doc_id AS page, unnest(string_split(text, chr(10))) AS text FROM documents"
 
 
-@query(f"""WITH l AS ({_LINES}) SELECT document, text, n FROM (SELECT document, text, count(DISTINCT page) AS n FROM l GROUP BY ALL) JOIN (SELECT document, count(DISTINCT page) AS pages FROM l GROUP BY ALL) USING (document) WHERE n >= 3 AND n >= 0.15 * pages""")
+@query(f"""WITH l AS ({_LINES}) SELECT document, text, n FROM (SELECT document, text, count(DISTINCT page) AS n FROM l GROUP BY ALL) JOIN (SELECT document, count(DISTINCT page) AS pages FROM l GROUP BY ALL) USING (document) WHERE n >= greatest(3, CASE WHEN 0.15 * pages - floor(0.15 * pages) = 0.5 THEN 2 * round(0.15 * pages / 2) ELSE round(0.15 * pages) END)""")
 def running_headers(spark, sf_dir):
     """Lines that come back on many pages."""
     lines = table(spark, sf_dir, "documents").select(F.col("source").alias("document"), F.col("doc_id").alias("page"), F.explode(F.split("text", "\n")).alias("text"))

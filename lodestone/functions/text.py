@@ -38,6 +38,9 @@ CONTINUATIONS = ["however", "therefore", "thus", "hence", "consequently", "moreo
 REFERENCES = ["this", "these", "that", "those", "it", "its", "they", "them", "their", "such", "he", "she", "his", "her"]
 CAPTION = r"(?i)^\s*(fig(?:ure)?|table|tbl|chart|diagram|exhibit|plate|scheme)\s*\.?\s*([A-Z]?\.?\d+(?:[.\-]\d+)*[a-z]?)(?!\w)"
 LIST_MARKER = r"^\s*(?:[-•*·‣▪◦–—]\s|\(?\d{1,3}[.)]\s|\(?[a-zA-Z][.)]\s|\(?[ivxlcdm]{1,5}[.)]\s)"
+MARKER = r"^\s*(?:\d+[.)]\s*|[-*•]\s*)"
+DEFINING = r"(?i)\b(where|let|denotes?|defined as|refers? to|is the|are the)\b"
+TABLE_LINE = r"(?im)^\s*(table|tbl)\s*\.?\s*([A-Z]?\.?\d+(?:[.\-]\d+)*[a-z]?)(?!\w)"
 MATHEMATICAL = "∑∫∂√∇±×÷≤≥≠≈≡∞∝⊂⊆⊃⊇∈∉∀∃∧∨¬→←↔⇒⇔∪∩∅ƒΣΠΔΩαβγδεθλμνξπρστφχψω"
 CLASS_COUNTS = {
     "DIRECT": (1, 2), "EXACT_TERM": (1, 3), "TABLE": (1, 3), "VISUAL": (1, 3), "RELATIONSHIP": (2, 5), "PREREQUISITE": (2, 5), "COMPARISON": (2, 5),
@@ -110,6 +113,23 @@ def opening_reason(text: Column) -> Column:
     )
 
 
+def expansion_reason(text: Column, kind: Column, parent: Column) -> Column:
+    """Why a passage has to be read with its parent, or null: by what it is, or for prose by how it opens."""
+    return (
+        F.when(parent.isNull(), None)
+        .when(kind == "TABLE", F.when(~text.rlike(TABLE_LINE), "TABLE_WITHOUT_ITS_CAPTION"))
+        .when(kind == "FORMULA", F.when(~text.rlike(DEFINING), "FORMULA_WITHOUT_ITS_DEFINITION"))
+        .when(kind.isin("FIGURE", "CHART", "DIAGRAM"), "VISUAL_WITHOUT_ITS_EXPLANATION")
+        .otherwise(opening_reason(text))
+    )
+
+
+def query_variants(asked: Column, said: Column, most: int = 3) -> Column:
+    """A question, then the first variants of it that a model said, a line each, without list marks and echoes."""
+    lines = F.transform(F.split(said, r"\r\n|\r|\n"), lambda x: F.trim(F.regexp_replace(x, MARKER, "")))
+    return F.concat(F.array(asked), F.filter(F.slice(F.filter(lines, lambda x: x != ""), 1, most), lambda x: x != asked))
+
+
 def element_type(text: Column, size_ratio: Column, bold: Column, lines: Column) -> Column:
     """CAPTION, LIST, FORMULA, HEADING or PARAGRAPH, the first that applies."""
     trimmed = F.trim(text)

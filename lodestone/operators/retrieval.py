@@ -106,3 +106,28 @@ def select_evidence(ranked: DataFrame, budget: int = 6000, margin: float = 0.35,
     marked = ranked.withColumns({"n": n, "stop": stop.cast("int")})
     kept = marked.withColumn("stopped", F.max("stop").over(upto)).where("stopped = 0")
     return kept.withColumn("label", F.concat(F.lit("S"), (F.col("n") + 1).cast("string"))).drop("n", "stop", "stopped")
+
+
+def ranking_metrics(ranked: DataFrame, k: int = 10) -> DataFrame:
+    """query_id with recall, precision, reciprocal rank and normalised discounted gain at k of ranked rows (query_id, rank, gold)."""
+    gold, near = F.col("gold"), F.col("gold") & (F.col("rank") < k)
+    gain = F.lit(1.0) / F.log2(F.col("rank") + 2)
+    rows = ranked.groupBy("query_id").agg(
+        F.count_if(gold).alias("n"), F.count_if(near).alias("hit"), F.min(F.when(gold, F.col("rank"))).alias("first"), F.sum(F.when(near, gain).otherwise(0.0)).alias("dcg")
+    )
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.col("n"), F.lit(k)), F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + F.lit(1.0) / F.log2(i + 1))
+    some = F.col("n") > 0
+    return rows.select(
+        "query_id", F.round(F.when(some, F.col("hit") / F.col("n")).otherwise(0.0), 9).alias(f"recall_at_{k}"), F.round(F.col("hit") / k, 9).alias(f"precision_at_{k}"),
+        F.round(F.coalesce(1.0 / (1 + F.col("first")), F.lit(0.0)), 9).alias("reciprocal_rank"), F.round(F.when(some, F.col("dcg") / ideal).otherwise(0.0), 9).alias(f"ndcg_at_{k}"), some.alias("covered"),
+    )
+
+
+def coverage_rounds(parts: DataFrame, keys: list[str], most: int = 3) -> DataFrame:
+    """Parts of questions (keys, status): how many, how many still open, rounds of search they need, and whether sources conflict.
+
+    An unsupported part asks for two more rounds, a partly supported one for one; ``most`` rounds are made at most.
+    """
+    open_ = F.col("status").isin("UNSUPPORTED", "PARTIALLY_SUPPORTED")
+    more = F.max(F.when(F.col("status") == "UNSUPPORTED", 2).when(F.col("status") == "PARTIALLY_SUPPORTED", 1).otherwise(0))
+    return parts.groupBy(*keys).agg(F.count("*").alias("questions"), F.count_if(open_).alias("open"), F.least(F.lit(most), 1 + more).alias("rounds"), F.bool_or(F.col("status") == "CONFLICTING").alias("conflict"))

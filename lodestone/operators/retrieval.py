@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,51 +21,60 @@ def top_ranked(scored: DataFrame, key: str, score: str, tie: str, k: int) -> Dat
     return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = 30, block: int = 4096) -> DataFrame:
+#: Vectors that travel in one row, and meet so many queries at once.
+PACK = 1000
+_PACKED = "block string, ids binary, vectors binary"
+
+
+def _packs(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    """Rows of an id and a vector, ``PACK`` in a row: ids and vectors of length 1 end to end."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PACK):
+            some = batch.slice(at, PACK)
+            ids = some[name].to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = some["embedding"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
+            unit = flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-12)
+            yield pa.record_batch([pa.array([uuid.uuid4().hex]), pa.array([ids.tobytes()], pa.binary()), pa.array([unit.tobytes()], pa.binary())], names=["block", "ids", "vectors"])
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of a task's vectors for every query that comes with them."""
+    best: dict[str, list[np.ndarray]] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            own, asked = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["query_ids"], np.int64)
+            vectors, wanted = (np.frombuffer(row[c], float).reshape(len(n), -1) for c, n in (("vectors", own), ("query_vectors", asked)))
+            held = best.setdefault(row["block"], [asked, np.full((len(asked), 0), -2.0), np.zeros((len(asked), 0), np.int64)])
+            cosine = np.hstack([held[1], np.round(wanted @ vectors.T, 9)])
+            ids = np.hstack([held[2], np.broadcast_to(own, (len(asked), len(own)))])
+            if cosine.shape[1] > k:
+                # all that are no worse than the k-th, so that ties go by id
+                edge = -np.partition(-cosine, k - 1, axis=1)[:, k - 1, None]
+                width = int((cosine >= edge).sum(axis=1).max())
+                at = np.argpartition(-cosine, width - 1, axis=1)[:, :width]
+                cosine, ids = np.take_along_axis(cosine, at, 1), np.take_along_axis(ids, at, 1)
+                at = np.lexsort((ids, -cosine), axis=1)[:, :k]
+                cosine, ids = np.take_along_axis(cosine, at, 1), np.take_along_axis(ids, at, 1)
+            held[1], held[2] = cosine, ids
+    for asked, cosine, ids in best.values():
+        yield pa.record_batch([pa.array(np.repeat(asked, ids.shape[1])), pa.array(ids.ravel()), pa.array(cosine.ravel())], names=["query_id", "vec_id", "cosine"])
+
+
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = 30) -> DataFrame:
     """query_id, vec_id, cosine, rank of the k nearest vectors (vec_id, embedding) of each query (query_id, embedding).
 
-    Queries go out in blocks of ``block``; each task keeps its own k best of a block, so what is shuffled is k rows for
+    Both sides are packed into rows of a thousand, and every pack of vectors meets every pack of queries where it is
+    read: nothing passes through the driver. A task keeps its own k best of each query, so what is shuffled is k rows for
     each query and task, never a row for each pair.
     """
-    spark = vectors.sparkSession
-    numbered = queries.select("query_id", "embedding")
-    parts = max(1, -(-numbered.count() // block))
-    found = None
-    for part in range(parts):
-        some = numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toPandas()
-        if some.empty:
-            continue
-        sent = spark.sparkContext.broadcast((some["query_id"].to_numpy(), _unit(np.stack(some["embedding"].to_numpy()))))
-
-        def nearest(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, wanted = sent.value
-            best: pd.DataFrame | None = None
-            for rows in batches:
-                if rows.empty:
-                    continue
-                cosine = np.round(wanted @ _unit(np.stack(rows["embedding"].to_numpy())).T, 9)
-                own = rows["vec_id"].to_numpy()
-                by_id = np.argsort(own, kind="stable")
-                own, cosine = own[by_id], cosine[:, by_id]  # ties then go by id
-                at = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
-                new = pd.DataFrame({"query_id": np.repeat(ids, at.shape[1]), "vec_id": own[at.ravel()], "cosine": np.take_along_axis(cosine, at, 1).ravel()})
-                best = new if best is None else pd.concat([best, new])
-                best = best.sort_values(["query_id", "cosine", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-            if best is not None:
-                yield best
-
-        out = vectors.select("vec_id", "embedding").mapInPandas(nearest, "query_id long, vec_id long, cosine double")
-        found = out if found is None else found.unionByName(out)
-    if found is None:
-        return queries.select(F.col("query_id").cast("long"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("cosine"), F.lit(0).alias("rank")).where("false")
+    with_vector = lambda d, name: d.where(F.col("embedding").isNotNull() & F.col(name).isNotNull()).select(F.col(name).cast("long").alias(name), F.col("embedding").cast("array<double>").alias("embedding"))
+    packed = with_vector(vectors, "vec_id").mapInArrow(functools.partial(_packs, name="vec_id"), _PACKED).select("ids", "vectors")
+    asked = with_vector(queries, "query_id").mapInArrow(functools.partial(_packs, name="query_id"), _PACKED).select("block", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
+    met = packed.crossJoin(asked.hint("shuffle_replicate_nl"))
+    found = met.mapInArrow(functools.partial(_nearest, k=k), "query_id long, vec_id long, cosine double")
     return top_ranked(found, "query_id", "cosine", "vec_id", k)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    x = x.astype(float)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-
-
 def inverted_index(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """term, key, tf of every document: lower-cased letters and digits."""
     return docs.select(key, F.explode(terms(F.col("text"))).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
@@ -71,7 +82,7 @@ def inverted_index(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def keyword_top_k(query_terms: DataFrame, docs: DataFrame, k: int = 30) -> DataFrame:
     """query_id, doc_id, score, rank: documents with all terms of a query (query_id, term), best summed log frequency first."""
-    wanted = query_terms.select("query_id", "term").distinct()
+    wanted = query_terms.select("query_id", "term").distinct()  # small beside the documents: a row for each term of a query
     sizes = wanted.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     hits = docs.select("doc_id", F.explode(terms(F.col("text"))).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     met = hits.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("n"), F.round(F.sum(1 + F.log("tf")), 6).alias("score"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.operators.statistics import exact_percentiles
+from lodestone.sources.tables import table
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -18,10 +20,6 @@ def query(sql: str):
     return note
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 @query("SELECT doc_id, n_chars FROM documents WHERE source = 'src1' AND lang = 'en'")
 def scoped_documents(spark, sf_dir):
     """Rows of one scope only: the predicate reaches the scan."""
@@ -196,8 +194,8 @@ def graph_neighbours(spark, sf_dir):
 @query("""SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type""")
 def latency_percentiles(spark, sf_dir):
     """Exact percentiles of a measure by kind."""
-    p = lambda q: F.round(F.expr(f"percentile(value, {q})"), 6)
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    found = exact_percentiles(table(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return found.select("event_type", "n", *[F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")])
 
 
 @query("""WITH s AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= ts - INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),

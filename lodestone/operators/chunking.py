@@ -18,7 +18,8 @@ def sections(elements: DataFrame, key: str, order: str, path: str) -> DataFrame:
 def spread(starts: Column, n: Column) -> Column:
     """The number of its run for each of n elements, from the runs' first places."""
     ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n))
-    return F.flatten(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x, k: F.array_repeat(k, x["b"] - x["a"])))
+    runs = F.flatten(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x, k: F.array_repeat(k, x["b"] - x["a"])))
+    return F.when(F.size(starts) > 0, runs).otherwise(F.array().cast("array<int>"))
 
 
 def packed(sizes: Column, most: int) -> Column:

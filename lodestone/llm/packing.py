@@ -6,7 +6,7 @@ of about ``group_pieces``; each group packs alone: the longest piece first, each
 hold it, found by walking down a tree whose nodes hold the largest room below them.
 
 Defined results: null or empty text is one piece of the end id alone; equal lengths are taken in order of doc_id,
-start and salt; repeated rows are packed each; an empty table gives no pieces; columns other than doc_id and text are
+start and salt; a very long text is cut into full pieces and a rest; repeated rows are packed each; an empty table gives no pieces; columns other than doc_id and text are
 ignored.
 """
 

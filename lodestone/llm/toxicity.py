@@ -12,7 +12,7 @@ it stands for, so the score is a probability at the labels' own share of toxic r
 count; the driver gets the distinct n-grams of that sample.
 
 Defined results: null or empty text, and text without letters, has both differences 0 and the score that calibration
-gives them; without labels of both classes every score is 0; repeated rows give repeated results; labels that
+gives them; a very long text is scored whole; equally telling windows give one peak; without labels of both classes every score is 0; repeated rows give repeated results; labels that
 contradict each other count once each; an empty table gives an empty result; other columns are ignored.
 """
 

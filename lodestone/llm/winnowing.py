@@ -9,7 +9,8 @@ task: ids are cut at quantiles into ranges, each range is one sorted group, and
 to the range before it.
 
 Defined results: a null text is empty and has no fingerprint; a text shorter than k is one run; shorter than a window,
-one window; of rows with one doc_id, the order is that of their texts; a null doc_id comes after all others; a single
+one window; a very long text takes time and memory in proportion to its length; equal hashes in a window: the rightmost;
+of rows with one doc_id, the order is that of their texts; a null doc_id comes after all others; a single
 row is its own neighbour; likeness of two texts without fingerprint is 1, of one without and one with, 0; an empty
 table gives an empty result; other columns are ignored.
 """
@@ -164,7 +165,8 @@ def neighbours(docs: DataFrame) -> DataFrame:
     target = F.get(F.array(*[F.lit(before.get(p, 0)) for p in range(max(found, default=0) + 1)]), F.col("place"))
     extra = first.select("doc_id", "text", target.alias("place"), F.lit(1).alias("extra"))
     both = placed.withColumn("extra", F.lit(0)).unionByName(extra)
-    return both.repartition(tasks, "place").sortWithinPartitions("place", "extra", F.col("doc_id").desc_nulls_last(), "text").select("place", "extra", "doc_id", "text")
+    # two ranges to each task, by number: hashed, some tasks would get several and some none
+    return both.repartitionById(tasks, F.pmod("place", F.lit(tasks)).cast("int")).sortWithinPartitions("place", "extra", F.col("doc_id").desc_nulls_last(), "text").select("place", "extra", "doc_id", "text")
 
 
 def edited_fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:

@@ -90,6 +90,17 @@ def shingles(items: Column, size: int = 5) -> Column:
     return F.get(F.transform(F.array(items), of), F.lit(0))
 
 
+def shingle_hashes(items: Column, size: int = 5) -> Column:
+    """As ``shingles``, but hashed: 64 bits of each run."""
+
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)]))
+        return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(runs))
+
+    return F.get(F.transform(F.array(items), of), F.lit(0))
+
+
 def containment(a: Column, b: Column) -> Column:
     """Shared items by the smaller number of items; 0 where either has none."""
     least = F.least(F.size(a), F.size(b))

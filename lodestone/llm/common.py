@@ -23,7 +23,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keeps the Arrow batches that carry whole texts small."""
+    """Keeps the Arrow batches that carry whole texts small: a setting of the session, as no operator has one of its own."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -48,10 +48,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, name: str, most: int = 500_000) -> DataFrame:
-    """A stored table, marked for broadcast if it has at most ``most`` rows; beyond that Spark joins it by shuffle."""
+def small(df: DataFrame, name: str, most: int = 32 << 20) -> DataFrame:
+    """A stored table, marked for broadcast if its values take at most ``most`` bytes; beyond that Spark joins it by shuffle."""
     kept = stored(df, name)
-    return F.broadcast(kept) if kept.count() <= most else kept
+    row = F.lit(8 * len(df.columns))
+    for field in df.schema:
+        if field.dataType.typeName() in ("string", "binary"):
+            row = row + F.coalesce(F.octet_length(field.name), F.lit(0))
+    size = kept.agg(F.sum(row.cast("long"))).first()[0] or 0
+    return F.broadcast(kept) if size <= most else kept
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -45,6 +45,9 @@ def test_awkward_rows_keep_their_place(docs):
     found = everything(docs)
     for name in ("counts", "toxicity", "dedup", "fingerprints", "spans", "redacted", "language"):
         assert found[name].count() == len(TEXTS), name
+    assert sum(r.n_segments for r in found["binary"].collect()) >= len(TEXTS)
+    assert sorted(i for r in found["binary"].collect() for i, start in zip(r.doc_ids, r.doc_starts) if start == 0 and i is not None) == sorted(i for i, _ in TEXTS if i is not None)
+    assert found["packing"].where("start = 0").count() == len(TEXTS) and {r.doc_id for r in found["mixing"].collect()} == {i for i, _ in TEXTS}
     assert found["redacted"].columns == docs.columns
     languages = {(r.doc_id, r.lang_pred) for r in found["language"].where("score = 0").collect()}
     assert {(3, "und"), (4, "und"), (5, "und"), (8, "und")} <= languages

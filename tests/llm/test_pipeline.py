@@ -73,3 +73,18 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, ""), "stage")
         assert docs.count() == 0
+
+
+def test_awkward_rows_pass_all_stages(spark):
+    """A very long text, repeated rows, rows without an id, and columns named like helpers."""
+    text = " ".join(WORDS["en"])
+    rows = [(1, text, "en", "a", 0, "x", 1), (1, text, "en", "a", 0, "x", 2), (None, text + " more words stand here now", "en", None, None, None, 3), (2, "the house near the river " * 9000, "en", "b", 1, "y", 4), (3, None, "en", "a", None, None, 5), (4, " ".join(WORDS["de"]), "de", "a", 7, "z", 6)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", _hash string, key long")
+    columns, after = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, ""), "stage")
+        after.append(docs.collect())
+        if len(after) < 5:
+            assert docs.columns == columns, name
+    assert [sorted({(r.doc_id or 0) for r in rows}) for rows in after] == [[0, 1, 2, 4]] * 5
+    assert len(after[0]) == 5 and len(after[1]) == 4

@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences, in five stages; each stage's result is the next one's documents."""
+"""From raw documents to packed training sequences, in five stages; each stage's result is the next one's documents.
+
+Defined results: a null or empty text goes in the first stage, as it has no letter; a null doc_id is a document of its
+own in all of them; a null source is a source; very long texts are treated whole; of near-duplicates the least id stays,
+so ties don't arise; of rows that repeat an id and its text one stays, of those that repeat an id with other texts too; an empty table
+stays empty; further columns pass through all stages but the last, whatever their names.
+"""
 
 from __future__ import annotations
 

@@ -90,10 +90,14 @@ def keyword_top_k(query_terms: DataFrame, docs: DataFrame, k: int = 30) -> DataF
     return top_ranked(full, "query_id", "score", "doc_id", k)
 
 
-def fuse(lists: DataFrame, constant: int = 60) -> DataFrame:
-    """query_id, doc_id, score, retrievers, rank from ranked lists (query_id, list_idx, retriever, doc_id, rank)."""
+def fuse(lists: DataFrame, constant: int = 60, payload: str | None = None) -> DataFrame:
+    """query_id, doc_id, score, retrievers, rank from ranked lists (query_id, list_idx, retriever, doc_id, rank).
+
+    ``payload``: a column that is kept as the first list had it.
+    """
+    first = [F.min_by(payload, F.struct("list_idx", "rank")).alias(payload)] if payload else []
     part = lists.groupBy("query_id", "doc_id").agg(
-        F.round(F.sum(1.0 / (constant + F.col("rank"))), 9).alias("score"), F.array_sort(F.collect_set("retriever")).alias("retrievers"), F.min(F.struct("list_idx", "rank")).alias("seen")
+        F.round(F.sum(1.0 / (constant + F.col("rank"))), 9).alias("score"), F.array_sort(F.collect_set("retriever")).alias("retrievers"), F.min(F.struct("list_idx", "rank")).alias("seen"), *first
     )
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "seen")
     return part.withColumn("rank", F.row_number().over(order) - 1).drop("seen")

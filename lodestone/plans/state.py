@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators import evidence as E
 from lodestone.operators import retrieval as R
 from lodestone.operators import state as S
 from lodestone.plans.evidence import _CANDIDATES, _candidates
@@ -406,3 +407,78 @@ def multi_hop_rounds(spark, sf_dir):
     k = (F.col("conv_id") + F.col("turn") + F.col("i")) % 5
     status = F.when(k == 0, "UNSUPPORTED").when(k == 1, "CONFLICTING").when(k == 2, "PARTIALLY_SUPPORTED").otherwise("SUPPORTED")
     return R.coverage_rounds(rows.withColumn("status", status), ["conv_id", "turn"])
+
+
+@query("""WITH e AS (SELECT user_id % 40 AS k, event_id, value, ts, CASE event_type WHEN 'error' THEN NULL WHEN 'click' THEN ts + INTERVAL 1 HOUR ELSE ts + INTERVAL 2 DAY END AS expires_at FROM events), l AS (SELECT k, arg_max(event_id, (ts, event_id)) AS event_id FROM e GROUP BY k)
+SELECT l.k AS cache_key, l.event_id, CASE WHEN e.expires_at IS NULL OR e.expires_at >= (SELECT max(ts) FROM events) THEN round(e.value, 6) END AS value FROM l JOIN e USING (event_id)""")
+def cache_lookup(spark, sf_dir):
+    """The cache after all puts (the last of a key counts), read at the end: null where the entry has expired."""
+    events = table(spark, sf_dir, "events")
+    now = events.agg(F.max("ts").alias("now"))
+    kind = F.col("event_type")
+    expires = F.when(kind == "error", None).when(kind == "click", F.expr("ts + interval 1 hour")).otherwise(F.expr("ts + interval 2 days"))
+    puts = events.select((F.col("user_id") % 40).alias("cache_key"), "event_id", "value", "ts", expires.alias("expires_at"))
+    last = puts.groupBy("cache_key").agg(F.max_by(F.struct("event_id", "value", "expires_at"), F.struct("ts", "event_id")).alias("e"))
+    fresh = F.col("e.expires_at").isNull() | (F.col("e.expires_at") >= F.col("now"))
+    return last.crossJoin(F.broadcast(now)).select("cache_key", "e.event_id", F.when(fresh, F.round("e.value", 6)).alias("value"))
+
+
+_LISTS = f"""c AS MATERIALIZED ({_CANDIDATES}), l AS (SELECT query_id, 0 AS i, 'EXACT' AS r, chunk_id AS doc_id, (row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) - 1)::INTEGER AS rank, document_id, text, question FROM c WHERE page = query_id // 20 % 4
+UNION ALL SELECT query_id, 1, 'DENSE', chunk_id, rank, document_id, text, question FROM c WHERE rank < 30 UNION ALL SELECT query_id, 2, 'KEYWORD', chunk_id, rank - 10, document_id, text, question FROM c WHERE rank >= 10)"""
+
+
+def _lists(spark, sf_dir):
+    c = _candidates(spark, sf_dir).select("query_id", F.col("chunk_id").alias("doc_id"), F.col("rank").cast("int").alias("rank"), "document_id", "page", "text", "question")
+    exact = c.where(F.col("page") == F.floor(F.col("query_id") / 20) % 4).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("doc_id")) - 1)
+    part = lambda d, i, name: d.select("query_id", F.lit(i).alias("list_idx"), F.lit(name).alias("retriever"), "doc_id", "rank", "document_id", "text", "question")
+    return part(exact, 0, "EXACT").unionByName(part(c.where("rank < 30"), 1, "DENSE")).unionByName(part(c.where("rank >= 10").withColumn("rank", F.col("rank") - 10), 2, "KEYWORD"))
+
+
+@query(f"""WITH {_LISTS}, f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(i * 1000 + rank) AS seen, arg_min(r || ':' || rank, i * 1000 + rank) AS payload FROM l GROUP BY ALL)
+SELECT query_id, doc_id, payload, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) - 1)::INTEGER AS rank FROM f""")
+def fused_payload(spark, sf_dir):
+    """What a fused passage carries is what the first list that has it says."""
+    lists = _lists(spark, sf_dir).withColumn("payload", F.concat("retriever", F.lit(":"), F.col("rank").cast("string")))
+    return R.fuse(lists, payload="payload").select("query_id", "doc_id", "payload", "rank")
+
+
+@query(f"""WITH {_LISTS}, f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused, min(i * 1000 + rank) AS seen, any_value(document_id) AS subject, any_value(text) AS text, any_value(question) AS question FROM l GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, seen) - 1 AS fused_rank FROM f),
+s AS (SELECT query_id, doc_id, subject, fused_rank, round(CASE WHEN len(question) = 0 THEN 0 ELSE len(list_intersect(list_distinct(question), list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')))) / len(list_distinct(question)) END, 9) AS score, doc_id % 4 * 10 + 10 AS provenance FROM o WHERE fused_rank < 40),
+b AS (SELECT query_id, subject, arg_max(doc_id, (provenance, doc_id)) AS doc_id FROM s GROUP BY ALL)
+SELECT query_id, doc_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fused_rank) - 1)::INTEGER AS rank FROM s JOIN b USING (query_id, subject, doc_id)""")
+def memory_retrieval(spark, sf_dir):
+    """Facts found exactly, by vector and by word, fused, reranked, and of those on one subject the best founded."""
+    lists = _lists(spark, sf_dir)
+    held = lists.select("query_id", "doc_id", F.col("document_id").alias("subject"), "text", "question").dropDuplicates(["query_id", "doc_id"])
+    fused = R.fuse(lists).join(held, ["query_id", "doc_id"]).withColumn("score", F.round(E.lexical_score(F.col("question"), T.terms(F.col("text"))), 9))
+    ranked = E.rerank(fused, pool=50, most=40).withColumn("provenance", F.col("doc_id") % 4 * 10 + 10)
+    best = ranked.groupBy("query_id", "subject").agg(F.max_by(F.struct("doc_id", "score", "fused_rank"), F.struct("provenance", "doc_id")).alias("b")).select("query_id", "b.*")
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "fused_rank")
+    return best.select("query_id", "doc_id", (F.row_number().over(order) - 1).alias("rank"))
+
+
+@query("""SELECT query_id, vec_id, rank::INTEGER AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) DESC, v.vec_id) - 1 AS rank
+FROM embeddings q, embeddings v JOIN documents d ON d.doc_id = v.vec_id AND length(trim(d.text)) >= 50 AND d.lang = 'en' AND d.doc_id % 4 > 0 WHERE q.vec_id % 20 = 0) WHERE rank < 30""")
+def dense_filtered(spark, sf_dir):
+    """The nearest vectors of children (not each fourth) of completed English documents."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    done = table(spark, sf_dir, "documents").where("length(trim(text)) >= 50").select(F.col("doc_id").alias("vec_id"), F.col("lang").alias("language"), F.when(F.col("doc_id") % 4 > 0, F.col("doc_id")).alias("parent_id"))
+    found = S.narrowed(S.searchable(vectors.join(done, "vec_id")), language="en")
+    return R.dense_top_k(vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), found).select("query_id", "vec_id", "rank")
+
+
+_KINDS = ["Table 3: ", "Fig. 2b ", "1. ", "- ", "∑∫∂√∇±", "", "Figure it out "]
+
+
+@query(rf"""SELECT doc_id, pos::INTEGER AS pos, CASE WHEN trim(l) = '' THEN 'PARAGRAPH' WHEN regexp_matches(trim(l), {_quoted(T.CAPTION_SQL)}) THEN 'CAPTION' WHEN regexp_matches(trim(l), {_quoted(T.LIST_MARKER)}) THEN 'LIST'
+WHEN length(regexp_replace(trim(l), '\s', '', 'g')) > 0 AND (length(regexp_replace(trim(l), '\s', '', 'g')) - length(regexp_replace(regexp_replace(trim(l), '\s', '', 'g'), '[{T.MATHEMATICAL}]', '', 'g'))) / length(regexp_replace(trim(l), '\s', '', 'g')) >= 0.25 THEN 'FORMULA'
+WHEN pos % 9 < 4 AND NOT regexp_matches(trim(l), '[.!?:;]$') AND (pos % 5 >= 2 OR pos % 3 = 0) THEN 'HEADING' ELSE 'PARAGRAPH' END AS element_type FROM (SELECT doc_id, pos, {_list(_KINDS)}[(doc_id + pos) % 7 + 1] || left(line, (doc_id + pos) * 7 % 30) AS l FROM (
+SELECT doc_id, unnest(t) AS line, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)))""")
+def element_types(spark, sf_dir):
+    """All types of elements: captions, lists, formulas, headings by size and weight, paragraphs."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    at = F.col("doc_id") + F.col("pos")
+    text = F.concat(_of(_KINDS, at % 7), F.left("line", (at * 7 % 30).cast("int")))
+    size, bold, lines = F.when(F.col("pos") % 5 >= 2, 1.2).otherwise(1.0), F.col("pos") % 3 == 0, F.when(F.col("pos") % 9 < 4, 2).otherwise(5)
+    return rows.select("doc_id", "pos", T.element_type(text, size, bold, lines).alias("element_type"))

@@ -8,6 +8,7 @@ from lodestone.functions import text as T
 from lodestone.operators import answers as A
 from lodestone.operators import chunking, evidence, keywords, retrieval, state
 from lodestone.operators.statistics import exact_percentiles
+from lodestone.operators.timing import Stopwatch
 
 
 def structure(spark, grid):
@@ -111,6 +112,16 @@ def test_dense_search_with_ties(spark):
     assert retrieval.dense_top_k(queries.where("false"), vectors, 5).count() == 0
 
 
+def test_stopwatch(spark):
+    watch = Stopwatch(spark)
+    with watch.stage("search"):
+        spark.range(10).count()
+    with pytest.raises(ValueError), watch.stage("unheard of"):
+        pass
+    took = {r.stage: r.ms for r in watch.rows().collect()}
+    assert len(took) == 11 and took["search"] > 0 and took["prune"] == 0
+
+
 def test_reasons(spark):
     cases = [("However, it fell.", "TEXT", "OPENS_MID_EXPLANATION"), ("this one", "TEXT", "OPENS_MID_EXPLANATION"), ("This one", "TEXT", "OPENS_WITH_A_REFERENCE"), ("(“Their house", "TEXT", "OPENS_WITH_A_REFERENCE"), ("A house", "TEXT", None), ("", "TEXT", None),
              ("1 2 3", "TABLE", "TABLE_WITHOUT_ITS_CAPTION"), ("Table 3. x\n1 2", "TABLE", None), ("Table of x", "TABLE", "TABLE_WITHOUT_ITS_CAPTION"), ("E = m", "FORMULA", "FORMULA_WITHOUT_ITS_DEFINITION"), ("E = m where m is", "FORMULA", None), ("x", "CHART", "VISUAL_WITHOUT_ITS_EXPLANATION")]

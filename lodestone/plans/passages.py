@@ -130,15 +130,13 @@ def dense_topk(spark, sf_dir):
     return _nearest(spark, sf_dir).select("query_id", "vec_id", "rank")
 
 
-#: Query terms of a document: the three longest distinct terms of its text, in order of length and then of the alphabet.
-_TERMS_SQL = """SELECT query_id, unnest(list_slice(list_transform(list_sort(list_transform(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda t: {'n': -length(t), 't': t})), lambda x: x.t), 1, 3)) AS term
-FROM (SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 20 = 0)"""
+#: Query terms of a document: all of its text.
+_TERMS_SQL = "SELECT doc_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM documents WHERE doc_id % 20 = 0"
 
 
 def _query_terms(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.array_distinct(T.terms(F.col("text"))).alias("t"))
-    longest = F.slice(F.array_sort(F.transform("t", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 1, 3)
-    return rows.select("query_id", F.explode(F.transform(longest, lambda x: x["t"])).alias("term"))
+    rows = table(spark, sf_dir, "documents").where("doc_id % 20 = 0")
+    return rows.select(F.col("doc_id").alias("query_id"), F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
 
 
 _KEYWORD = f"""SELECT query_id, doc_id, score, rank FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM (
@@ -148,7 +146,7 @@ JOIN (SELECT query_id, count(*) AS n FROM ({_TERMS_SQL}) GROUP BY query_id) s ON
 
 @query(f"SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM ({_KEYWORD})")
 def keyword_topk(spark, sf_dir):
-    """Documents that hold all three query terms, for every document whose id is divisible by 20."""
+    """Documents that hold all terms of the text, for every document whose id is divisible by 20."""
     return R.keyword_top_k(_query_terms(spark, sf_dir), table(spark, sf_dir, "documents"))
 
 

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, language_id, mixing, near_dedup, packing, personal_data, token_counts, topk_search, toxicity, winnowing
-from .common import documents, fold, shared_path
+from . import bin_completion, binary_output, conversation_trie, fill_in_middle, language_id, mixing, near_dedup, packing, personal_data, token_counts, topk_search, toxicity, winnowing
+from .common import documents, fold, shared_path, stored
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document transformed for filling in its middle, from stored frames; of each, digests of the output and of the text rebuilt from it."""
+    frames = stored(fill_in_middle.framed(documents(spark, sf_dir)), "frames")
+    return fill_in_middle.with_digests(fill_in_middle.fill_in_middle(frames))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens, as few as bin completion finds."""
+    return bin_completion.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each reopened with the first turns of the one at the start of its twenty."""
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = conversation_trie.ordered_turns(conversations)
+    members = stored(conversations.select(F.col("conv_id").cast("long").alias("conv_id")).where("conv_id is not null").distinct(), "conv-ids")
+    return conversation_trie.prefix_trie(conversation_trie.reopened(turns, members), members)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_packed_ids": op2_packed_ids,
@@ -87,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk_search": op8_topk_search,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -126,5 +148,52 @@ hits AS (
   WHERE h.id <> a.id GROUP BY a.id, h.d, h.id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY parts DESC, doc_id) AS rank FROM hits WHERE parts > 0)
 SELECT query_id, doc_id, (parts / 1000000.0)::DOUBLE AS score, rank FROM ranked WHERE rank <= 10
+""",
+    "op11_fill_in_middle": r"""
+WITH drawn AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || doc_id::VARCHAR) AS h FROM documents),
+hashes AS (SELECT *, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM drawn),
+formed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h IS NULL OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM hashes),
+parts AS (SELECT *, substring(text, 1, a) AS prefix, substring(text, a + 1, b - a) AS middle, substring(text, b + 1) AS suffix FROM formed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+""",
+    "op13_conversation_trie": r"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+crc_steps(i, r, n) AS (SELECT i::UBIGINT, i::UBIGINT, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384::UBIGINT) ELSE r // 2 END, n + 1 FROM crc_steps WHERE n < 8),
+crc_table AS (SELECT i, r FROM crc_steps WHERE n = 8),
+crc(c, rest, r) AS (
+  SELECT DISTINCT c, c::VARCHAR, 4294967295::UBIGINT FROM turns
+  UNION ALL
+  SELECT c, rest[2:], xor(crc.r // 256, t.r) FROM crc JOIN crc_table t ON t.i = xor(crc.r % 256, ascii(rest[1])::UBIGINT) WHERE rest <> ''),
+members AS (SELECT c, c - c % 20 AS s, (xor(r, 4294967295::UBIGINT) % 4)::BIGINT AS h FROM crc WHERE rest = ''),
+rebuilt AS (
+  SELECT m.c, 0 AS part, t.i, t.role, t.text FROM members m JOIN turns t ON t.c = m.s AND t.i <= m.h
+  UNION ALL
+  SELECT m.c, 1, t.i, t.role, t.text FROM members m JOIN turns t ON t.c = m.c AND t.i > m.h),
+placed AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, i) AS d, role, text FROM rebuilt),
+hashed AS (SELECT c, d, text, string_agg(sha256(strlen(role)::VARCHAR || ':' || role || text), '') OVER (PARTITION BY c ORDER BY d) AS p FROM placed),
+keyed AS (
+  SELECT c, d, md5(p) AS p, CASE WHEN d = 1 THEN '' ELSE md5(left(p, (64 * (d - 1))::BIGINT)) END AS up, len(list_filter(string_split_regex(text, '[ 	-]+'), lambda w: w <> '')) AS words
+  FROM hashed
+  UNION ALL SELECT c, 0, '', NULL, 0 FROM members),
+nodes AS (SELECT p, min(c) AS conv_id, min(d)::BIGINT AS depth, min(up) AS up, count(*) AS n_convs, min(words) AS words FROM keyed GROUP BY p),
+lengths AS (SELECT c, max(d) AS d FROM keyed GROUP BY c),
+ended AS (SELECT k.p, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends FROM keyed k JOIN lengths USING (c, d) GROUP BY k.p),
+children AS (SELECT up AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY up),
+below AS (  -- a node and each node of its subtree: prefixes of the lower one's conversation
+  SELECT k.p, n.p AS q, n.n_convs, n.words FROM nodes n JOIN keyed k ON k.c = n.conv_id AND k.d <= n.depth),
+sums AS (
+  SELECT b.p, count(*) FILTER (WHERE c.p IS NULL) AS n_leaves, sum((b.n_convs - 1) * b.words)::BIGINT AS saved_tokens
+  FROM below b LEFT JOIN children c ON c.p = b.q GROUP BY b.p)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0)::BIGINT AS n_children, s.n_leaves, s.saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes u ON u.p = n.up LEFT JOIN children c ON c.p = n.p LEFT JOIN ended e ON e.p = n.p JOIN sums s ON s.p = n.p
 """,
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import strip
+
 
 def cells(line: Column, mark: str = "|") -> Column:
     """Cells of a line, trimmed, with white space made single."""
@@ -66,7 +68,7 @@ def structure(grid: Column) -> Column:
         own = F.coalesce(set_out, F.lit(False))
 
         def column(name: Column, i: Column) -> Column:
-            inner, unit = F.trim(F.regexp_extract(name, TRAILING_UNIT, 1)), F.trim(F.regexp_extract(name, TRAILING_UNIT, 2))
+            inner, unit = strip(F.regexp_extract(name, TRAILING_UNIT, 1)), strip(F.regexp_extract(name, TRAILING_UNIT, 2))
             split = (inner != "") & (unit != "")
             named = F.when(split, inner).otherwise(name)
             written = F.when(own, F.nullif(F.get(next_, i), F.lit("")))
@@ -101,9 +103,9 @@ def prose(table: Column, caption: Column) -> Column:
     """A table in prose: a line for each row that names its columns; empty cells are left out."""
 
     def line(row: Column) -> Column:
-        cell = lambda x: F.concat_ws(" ", x["h"], F.trim(x["c"]), x["u"])
+        cell = lambda x: F.concat_ws(" ", x["h"], strip(x["c"]), x["u"])
         zipped = F.arrays_zip(table["headers"].alias("h"), row.alias("c"), table["units"].alias("u"))
-        return F.array_join(F.transform(F.filter(zipped, lambda x: F.trim(x["c"]) != ""), cell), ", ")
+        return F.array_join(F.transform(F.filter(zipped, lambda x: strip(x["c"]) != ""), cell), ", ")
 
     lines = F.transform(F.filter(F.transform(table["rows"], line), lambda x: x != ""), lambda x: F.concat(x, F.lit(".")))
-    return F.trim(F.array_join(F.concat(F.array_compact(F.array(F.trim(caption))), lines), "\n"))
+    return strip(F.array_join(F.concat(F.array_compact(F.array(strip(caption))), lines), "\n"))

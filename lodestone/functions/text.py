@@ -46,9 +46,21 @@ CLASS_COUNTS = {
     "DIRECT": (1, 2), "EXACT_TERM": (1, 3), "TABLE": (1, 3), "VISUAL": (1, 3), "RELATIONSHIP": (2, 5), "PREREQUISITE": (2, 5), "COMPARISON": (2, 5),
     "CONCEPT_MAP": (3, 8), "MULTI_DOCUMENT": (3, 8), "AGGREGATION": (3, 8), "SUMMARY": (3, 8), "QUIZ_GENERATION": (3, 8), "MULTI_HOP": (2, 8),
 }
+#: White space, as it is stripped from the ends of texts.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with"]
 
 
+def strip(text: Column) -> Column:
+    """A text without white space of any kind at its ends."""
+    return F.trim(text, F.lit(WHITE))
+
+
+def with_strip(sql: str) -> str:
+    """SQL in which ``strip(x)`` stands for the same."""
+    return sql.replace("strip(", f"trim(BOTH '{WHITE}' FROM ")
+
+
 def query_class(text: Column) -> Column:
     """The first rule that matches names the class; DIRECT without one."""
     found = F.lit("DIRECT")
@@ -66,7 +78,7 @@ def is_follow_up(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Pieces between sentence ends that a capital or a digit follows, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z0-9])"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z0-9])"), lambda s: strip(s)), lambda s: s != "")
 
 
 def terms(text: Column) -> Column:
@@ -137,13 +149,13 @@ def expansion_reason(text: Column, kind: Column, parent: Column) -> Column:
 
 def query_variants(asked: Column, said: Column, most: int = 3) -> Column:
     """A question, then the first variants of it that a model said, a line each, without list marks and echoes."""
-    lines = F.transform(F.split(said, r"\r\n|\r|\n"), lambda x: F.trim(F.regexp_replace(x, MARKER, "")))
+    lines = F.transform(F.split(said, r"\r\n|\r|\n"), lambda x: strip(F.regexp_replace(x, MARKER, "")))
     return F.concat(F.array(asked), F.filter(F.slice(F.filter(lines, lambda x: x != ""), 1, most), lambda x: x != asked))
 
 
 def element_type(text: Column, size_ratio: Column, bold: Column, lines: Column) -> Column:
     """CAPTION, LIST, FORMULA, HEADING or PARAGRAPH, the first that applies."""
-    trimmed = F.trim(text)
+    trimmed = strip(text)
     visible = F.regexp_replace(trimmed, r"\s", "")
     symbols = F.length(visible) - F.length(F.translate(visible, MATHEMATICAL, ""))
     ratio = F.when(F.length(visible) > 0, symbols / F.length(visible)).otherwise(0.0)

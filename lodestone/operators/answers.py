@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import strip
+
 # What repairs and partial answers say.
 SUPPORTED = ["ENTAILED", "CONTRADICTED", "NOT_SUPPORTED"]
 FIDELITY = ["FAITHFUL", "OVERSTATED"]
@@ -48,7 +50,7 @@ def parsed_answer(raw: Column) -> Column:
     """
     value = F.try_parse_json(raw)
     part = lambda path: F.try_variant_get(value, path, "variant")
-    text_of = lambda v: F.trim(F.try_variant_get(v, "$", "string"))
+    text_of = lambda v: strip(F.try_variant_get(v, "$", "string"))
     claims = F.coalesce(F.try_variant_get(value, "$.claims", "array<variant>"), F.array().cast("array<variant>"))
     cited = lambda c: F.coalesce(F.try_variant_get(c, "$.citations", "array<variant>"), F.array().cast("array<variant>"))
 

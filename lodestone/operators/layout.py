@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import strip
 from lodestone.operators.chunking import spread
 
 
@@ -68,7 +69,7 @@ def running_headers(lines: DataFrame, pages: int = 3, share: float = 0.15) -> Da
 
 
 def _in_margin(lines: DataFrame, margin: float) -> DataFrame:
-    return lines.withColumns({"_bare": F.trim(F.regexp_replace("text", PAGE_NUMBER, "")), "_high": F.col("top") < margin})
+    return lines.withColumns({"_bare": strip(F.regexp_replace("text", PAGE_NUMBER, "")), "_high": F.col("top") < margin})
 
 
 def margin_headers(lines: DataFrame, margin: float = 80.0, pages: int = 3, share: float = 0.15) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import CLASS_COUNTS, terms
+from lodestone.sources.shared import written
 
 
 def top_ranked(scored: DataFrame, key: str, score: str, tie: str, k: int) -> DataFrame:
@@ -63,13 +64,13 @@ def _nearest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = 30) -> DataFrame:
     """query_id, vec_id, cosine, rank of the k nearest vectors (vec_id, embedding) of each query (query_id, embedding).
 
-    Both sides are packed into rows of a thousand, and every pack of vectors meets every pack of queries where it is
-    read: nothing passes through the driver. A task keeps its own k best of each query, so what is shuffled is k rows for
+    Both sides are packed into rows of a thousand and written once, and every pack of vectors meets every pack of queries
+    where it is read: nothing passes through the driver. A task keeps its own k best of each query, so what is shuffled is k rows for
     each query and task, never a row for each pair.
     """
     with_vector = lambda d, name: d.where(F.col("embedding").isNotNull() & F.col(name).isNotNull()).select(F.col(name).cast("long").alias(name), F.col("embedding").cast("array<double>").alias("embedding"))
-    packed = with_vector(vectors, "vec_id").mapInArrow(functools.partial(_packs, name="vec_id"), _PACKED).select("ids", "vectors")
-    asked = with_vector(queries, "query_id").mapInArrow(functools.partial(_packs, name="query_id"), _PACKED).select("block", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
+    packed = written(with_vector(vectors, "vec_id").mapInArrow(functools.partial(_packs, name="vec_id"), _PACKED), "packs").select("ids", "vectors")
+    asked = written(with_vector(queries, "query_id").mapInArrow(functools.partial(_packs, name="query_id"), _PACKED), "packs").select("block", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
     met = packed.crossJoin(asked.hint("shuffle_replicate_nl"))
     found = met.mapInArrow(functools.partial(_nearest, k=k), "query_id long, vec_id long, cosine double")
     return top_ranked(found, "query_id", "cosine", "vec_id", k)

@@ -26,7 +26,7 @@ LABELS = ["S1", "[S2]", " [S12] ", "S0", "s1", "S01", "[[S3]]", "S", "S1a", "[S
 
 def query(sql: str):
     def note(f):
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
+        QUERIES[f.__name__], SQL[f.__name__] = f, T.with_strip(sql)
         return f
 
     return note
@@ -40,17 +40,18 @@ _CASES = [
     '{"answer": " T ", "claims": [{"text": "T", "citations": ["[S1]", " [S3] "], "note": 1}], "thought": "x"}', '{"answer": "T", "claims": [], "insufficient_evidence": true}', '{"answer": "  ", "claims": []}', "T",
     '["T"]', '{"answer": "T", "claims": [{"text": "T", "citations": []}]}', '{"answer": "T", "claims": [], "insufficient_evidence": false}', '{"answer": 5, "claims": []}', '{"answer": "T", "claims": "no"}',
     '{"answer": "T", "claims": [{"text": "T", "citations": ["[S2]", " "]}]}', '{"answer": "T", "insufficient_evidence": "yes"}', '{"answer": "T", "claims": [{"text": "T", "citations": ["[S2]"]}], "insufficient_evidence": true}', '{"claims": []}', '{"answer": "T", "insufficient_evidence": true}',
+    r'{"answer": "T", "claims": [{"text": "\t", "citations": ["[S1]"]}]}', r'{"answer": "T", "claims": [{"text": "T", "citations": ["\n"]}]}', r'{"answer": "\u00a0\r\n", "claims": []}', r'{"answer": "\n T\t", "claims": [{"text": "T\n", "citations": ["\t[S2]\n"]}]}',
 ]
 
 
 @query(rf"""WITH r AS (SELECT conv_id, turn, replace({_list(_CASES)}[(conv_id * 3 + turn) % {len(_CASES)} + 1], 'T', regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g')) AS raw FROM conversations WHERE role = 'assistant'),
 j AS (SELECT *, CASE WHEN json_valid(raw) AND json_type(raw) = 'OBJECT' THEN raw::JSON END AS j FROM r),
 c AS (SELECT *, coalesce(CASE WHEN json_type(j, '$.claims') = 'ARRAY' THEN from_json(j->'$.claims', '["JSON"]') END, []) AS claims FROM j),
-v AS (SELECT *, coalesce(j IS NOT NULL AND json_type(j, '$.answer') = 'VARCHAR' AND trim(j->>'$.answer') <> '' AND coalesce(json_type(j, '$.claims'), 'ARRAY') = 'ARRAY' AND coalesce(json_type(j, '$.insufficient_evidence'), 'BOOLEAN') = 'BOOLEAN'
+v AS (SELECT *, coalesce(j IS NOT NULL AND json_type(j, '$.answer') = 'VARCHAR' AND strip(j->>'$.answer') <> '' AND coalesce(json_type(j, '$.claims'), 'ARRAY') = 'ARRAY' AND coalesce(json_type(j, '$.insufficient_evidence'), 'BOOLEAN') = 'BOOLEAN'
   AND (len(claims) = 0) = coalesce((j->>'$.insufficient_evidence') = 'true', false)
-  AND len(list_filter(claims, lambda x: NOT coalesce(json_type(x, '$.text') = 'VARCHAR' AND trim(x->>'$.text') <> '' AND json_array_length(x, '$.citations') > 0 AND len(list_filter(from_json(x->'$.citations', '["VARCHAR"]'), lambda l: trim(l) = '')) = 0, false))) = 0, false) AS valid FROM c)
-SELECT conv_id, turn, CASE WHEN valid THEN 'PARSED' ELSE 'REJECTED' END AS verdict, CASE WHEN valid THEN trim(j->>'$.answer') END AS answer, CASE WHEN valid THEN coalesce((j->>'$.insufficient_evidence') = 'true', false) END AS insufficient,
-CASE WHEN valid THEN array_to_string(list_transform(claims, lambda x: array_to_string(list_transform(from_json(x->'$.citations', '["VARCHAR"]'), lambda l: trim(l)), '+')), ',') END AS cited FROM v""")
+  AND len(list_filter(claims, lambda x: NOT coalesce(json_type(x, '$.text') = 'VARCHAR' AND strip(x->>'$.text') <> '' AND json_array_length(x, '$.citations') > 0 AND len(list_filter(from_json(x->'$.citations', '["VARCHAR"]'), lambda l: strip(l) = '')) = 0, false))) = 0, false) AS valid FROM c)
+SELECT conv_id, turn, CASE WHEN valid THEN 'PARSED' ELSE 'REJECTED' END AS verdict, CASE WHEN valid THEN strip(j->>'$.answer') END AS answer, CASE WHEN valid THEN coalesce((j->>'$.insufficient_evidence') = 'true', false) END AS insufficient,
+CASE WHEN valid THEN array_to_string(list_transform(claims, lambda x: array_to_string(list_transform(from_json(x->'$.citations', '["VARCHAR"]'), lambda l: strip(l)), '+')), ',') END AS cited FROM v""")
 def answer_parse(spark, sf_dir):
     """What models wrote, read as answers with claims, or rejected."""
     rows = table(spark, sf_dir, "conversations").where("role = 'assistant'")

@@ -20,7 +20,7 @@ SQL: dict[str, str] = {}
 
 def query(sql: str):
     def note(f):
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
+        QUERIES[f.__name__], SQL[f.__name__] = f, T.with_strip(sql)
         return f
 
     return note
@@ -80,7 +80,7 @@ def page_measures(spark, sf_dir):
     return layout.measures(boxes, area=40000.0)
 
 
-_MARGIN = r"""SELECT source AS document, doc_id AS page, pos, line, trim(regexp_replace(CASE WHEN pos = 0 THEN CASE doc_id % 3 WHEN 0 THEN 'Chapter ' || doc_id % 2 || ' | ' || doc_id WHEN 1 THEN doc_id || ' — Chapter ' || doc_id % 2 ELSE line END ELSE line END, '^\d+\s*[|—–]\s*|\s*[|—–]\s*\d+$', '', 'g')) AS text, pos * 30.0 AS top FROM (
+_MARGIN = r"""SELECT source AS document, doc_id AS page, pos, line, strip(regexp_replace(CASE WHEN pos = 0 THEN CASE doc_id % 3 WHEN 0 THEN 'Chapter ' || doc_id % 2 || ' | ' || doc_id WHEN 1 THEN doc_id || ' — Chapter ' || doc_id % 2 ELSE line END ELSE line END, '^\d+\s*[|—–]\s*|\s*[|—–]\s*\d+$', '', 'g')) AS text, pos * 30.0 AS top FROM (
 SELECT source, doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT source, doc_id, string_split(text, chr(10)) AS l FROM documents))"""
 _HEADERS = f"""SELECT document, text, n FROM (SELECT document, text, count(DISTINCT page) AS n FROM ({_MARGIN}) WHERE top < 80 AND text <> '' GROUP BY ALL) JOIN (SELECT source AS document, count(DISTINCT doc_id) AS pages FROM documents GROUP BY ALL) USING (document)
 WHERE n >= greatest(3, CASE WHEN 0.15 * pages - floor(0.15 * pages) = 0.5 THEN 2 * round(0.15 * pages / 2) ELSE round(0.15 * pages) END)"""

@@ -15,7 +15,7 @@ SQL: dict[str, str] = {}
 
 def query(sql: str):
     def note(f):
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
+        QUERIES[f.__name__], SQL[f.__name__] = f, T.with_strip(sql)
         return f
 
     return note
@@ -69,7 +69,7 @@ def follow_up(spark, sf_dir):
     return _questions(spark, sf_dir).select("conv_id", "turn", ((F.col("turn") > 0) & T.is_follow_up(F.col("q"))).alias("rewrite"))
 
 
-_SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
+_SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: strip(s)), lambda s: s <> '')"
 
 
 @query(f"SELECT doc_id, len({_SENTENCES})::INTEGER AS n, sha256(array_to_string({_SENTENCES}, '|')) AS digest FROM documents")
@@ -99,7 +99,7 @@ def inverted_index(spark, sf_dir):
 
 
 @query("""SELECT doc_id, pos::INTEGER AS pos, CASE WHEN trim(line) = '' THEN 'PARAGRAPH' WHEN regexp_matches(trim(line), '^\\s*(?:[-•*·‣▪◦–—]\\s|\\(?\\d{1,3}[.)]\\s|\\(?[a-zA-Z][.)]\\s|\\(?[ivxlcdm]{1,5}[.)]\\s)') THEN 'LIST'
-WHEN NOT regexp_matches(trim(line), '[.!?:;]$') AND pos % 2 = 0 THEN 'HEADING' ELSE 'PARAGRAPH' END AS element_type FROM (SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""")
+WHEN NOT regexp_matches(strip(line), '[.!?:;]$') AND pos % 2 = 0 THEN 'HEADING' ELSE 'PARAGRAPH' END AS element_type FROM (SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""")
 def element_classify(spark, sf_dir):
     """The type of every line; even lines count as bold."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -150,42 +150,6 @@ def keyword_topk(spark, sf_dir):
     return R.keyword_top_k(_query_terms(spark, sf_dir), table(spark, sf_dir, "documents"))
 
 
-_FUSED = f"""SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score, list_sort(list(DISTINCT retriever)) AS retrievers, min(list_idx * 1000 + rank) AS seen FROM (
-SELECT query_id, 0 AS list_idx, 'DENSE' AS retriever, vec_id AS doc_id, rank FROM ({_DENSE}) UNION ALL SELECT query_id, 1, 'KEYWORD', doc_id, rank FROM ({_KEYWORD})) GROUP BY query_id, doc_id"""
-
-
-def _fused(spark, sf_dir):
-    dense = _nearest(spark, sf_dir).select("query_id", F.lit(0).alias("list_idx"), F.lit("DENSE").alias("retriever"), F.col("vec_id").alias("doc_id"), "rank")
-    keyword = R.keyword_top_k(_query_terms(spark, sf_dir), table(spark, sf_dir, "documents")).select("query_id", F.lit(1).alias("list_idx"), F.lit("KEYWORD").alias("retriever"), "doc_id", "rank")
-    return R.fuse(dense.unionByName(keyword))
-
-
-@query(f"SELECT query_id, doc_id, score, array_to_string(retrievers, ',') AS retrievers, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) - 1)::INTEGER AS rank FROM ({_FUSED})) WHERE rank < 10")
-def hybrid_flagship(spark, sf_dir):
-    """Dense and keyword search fused by reciprocal ranks: the ten best passages of every query."""
-    return _fused(spark, sf_dir).where("rank < 10").select("query_id", "doc_id", "score", F.array_join("retrievers", ",").alias("retrievers"), "rank")
-
-
-@query(f"""WITH r AS (SELECT f.query_id, f.doc_id, score, row_number() OVER (PARTITION BY f.query_id ORDER BY score DESC, seen) - 1 AS n, len(regexp_extract_all(text, '\\S+')) AS cost FROM ({_FUSED}) f JOIN documents d ON d.doc_id = f.doc_id),
-m AS (SELECT *, max(CASE WHEN n >= 5 OR (n > 0 AND upto > 6000) OR (score < top - abs(top) * 0.35 AND n >= 2) THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY n) AS stopped FROM (SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY n) AS upto, first_value(score) OVER (PARTITION BY query_id ORDER BY n) AS top FROM r))
-SELECT query_id, doc_id, n::INTEGER AS rank, 'S' || (n + 1) AS label FROM m WHERE stopped = 0""")
-def select_evidence(spark, sf_dir):
-    """The part of each fused list that is worth sending to answer a comparison."""
-    costs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(r"\S+")).alias("cost"))
-    ranked = _fused(spark, sf_dir).join(costs, "doc_id").withColumn("query_class", F.lit("COMPARISON"))
-    return R.select_evidence(ranked).select("query_id", "doc_id", "rank", "label")
-
-
-@query(f"""WITH h AS (SELECT query_id, min(rank) AS first, count(*) FILTER (rank < 10) AS ten FROM ({_KEYWORD}) k WHERE k.doc_id = k.query_id GROUP BY query_id)
-SELECT count(*) AS queries, round(avg(CASE WHEN h.ten > 0 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_10, round(avg(coalesce(1.0 / (1 + h.first), 0)), 6) AS mrr FROM (SELECT doc_id FROM documents WHERE doc_id % 20 = 0) d LEFT JOIN h ON h.query_id = d.doc_id""")
-def retrieval_quality(spark, sf_dir):
-    """Recall at ten and mean reciprocal rank of keyword search for the document that each query comes from."""
-    found = R.keyword_top_k(_query_terms(spark, sf_dir), table(spark, sf_dir, "documents")).where("doc_id = query_id").select("query_id", "rank")
-    wanted = table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"))
-    rows = wanted.join(found, "query_id", "left")
-    return rows.agg(F.count("*").alias("queries"), F.round(F.avg(F.when(F.col("rank") < 10, 1.0).otherwise(0.0)), 6).alias("recall_at_10"), F.round(F.avg(F.coalesce(1.0 / (1 + F.col("rank")), F.lit(0.0))), 6).alias("mrr"))
-
-
 @query("""WITH c AS (SELECT doc_id, unnest(generate_series(0, 2)) AS claim, text FROM documents WHERE lang = 'en'), s AS (SELECT doc_id, claim, CASE WHEN (doc_id * 7 + claim * 3) % 10 < 6 THEN 3 WHEN (doc_id * 7 + claim * 3) % 10 < 9 THEN 1 ELSE 2 END AS status FROM c)
 SELECT doc_id, CASE WHEN max(CASE WHEN status = 2 THEN 1 ELSE 0 END) = 1 THEN 'REJECTED' WHEN min(status) = 1 THEN 'REPAIRABLE' ELSE 'VALID' END AS decision, count(*) FILTER (status = 3) AS entailed FROM s GROUP BY doc_id""")
 def answer_decision(spark, sf_dir):

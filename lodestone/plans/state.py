@@ -19,7 +19,7 @@ SQL: dict[str, str] = {}
 
 def query(sql: str):
     def note(f):
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
+        QUERIES[f.__name__], SQL[f.__name__] = f, T.with_strip(sql)
         return f
 
     return note
@@ -343,7 +343,7 @@ def retrieval_plan_full(spark, sf_dir):
 _MODEL = r"""'1. ' || text || chr(10) || '  - ' || text || ' again' || chr(10) || chr(10) || '* ' || reverse(text) || chr(10) || '2) ' || upper(text) || chr(10) || '• more'"""
 
 
-@query(rf"""SELECT conv_id, turn, len(v)::INTEGER AS n, sha256(array_to_string(v, chr(10))) AS digest FROM (SELECT conv_id, turn, list_concat([trim(text)], list_filter(list_slice(list_filter(list_transform(string_split({_MODEL}, chr(10)), lambda l: trim(regexp_replace(l, '^\s*(?:\d+[.)]\s*|[-*•]\s*)', ''))), lambda l: l <> ''), 1, 3), lambda l: l <> trim(text))) AS v FROM (SELECT conv_id, turn, regexp_replace(text, '\s+', ' ', 'g') AS text FROM conversations WHERE role = 'user'))""")
+@query(rf"""SELECT conv_id, turn, len(v)::INTEGER AS n, sha256(array_to_string(v, chr(10))) AS digest FROM (SELECT conv_id, turn, list_concat([trim(text)], list_filter(list_slice(list_filter(list_transform(string_split({_MODEL}, chr(10)), lambda l: strip(regexp_replace(l, '^\s*(?:\d+[.)]\s*|[-*•]\s*)', ''))), lambda l: l <> ''), 1, 3), lambda l: l <> trim(text))) AS v FROM (SELECT conv_id, turn, regexp_replace(text, '\s+', ' ', 'g') AS text FROM conversations WHERE role = 'user'))""")
 def query_variants(spark, sf_dir):
     """A question and the first three variants that a model gives, without list marks, blank lines and echoes."""
     t = F.regexp_replace("text", r"\s+", " ")
@@ -471,9 +471,9 @@ def dense_filtered(spark, sf_dir):
 _KINDS = ["Table 3: ", "Fig. 2b ", "1. ", "- ", "∑∫∂√∇±", "", "Figure it out "]
 
 
-@query(rf"""SELECT doc_id, pos::INTEGER AS pos, CASE WHEN trim(l) = '' THEN 'PARAGRAPH' WHEN regexp_matches(trim(l), {_quoted(T.CAPTION_SQL)}) THEN 'CAPTION' WHEN regexp_matches(trim(l), {_quoted(T.LIST_MARKER)}) THEN 'LIST'
-WHEN length(regexp_replace(trim(l), '\s', '', 'g')) > 0 AND (length(regexp_replace(trim(l), '\s', '', 'g')) - length(regexp_replace(regexp_replace(trim(l), '\s', '', 'g'), '[{T.MATHEMATICAL}]', '', 'g'))) / length(regexp_replace(trim(l), '\s', '', 'g')) >= 0.25 THEN 'FORMULA'
-WHEN pos % 9 < 4 AND NOT regexp_matches(trim(l), '[.!?:;]$') AND (pos % 5 >= 2 OR pos % 3 = 0) THEN 'HEADING' ELSE 'PARAGRAPH' END AS element_type FROM (SELECT doc_id, pos, {_list(_KINDS)}[(doc_id + pos) % 7 + 1] || left(line, (doc_id + pos) * 7 % 30) AS l FROM (
+@query(rf"""SELECT doc_id, pos::INTEGER AS pos, CASE WHEN strip(l) = '' THEN 'PARAGRAPH' WHEN regexp_matches(strip(l), {_quoted(T.CAPTION_SQL)}) THEN 'CAPTION' WHEN regexp_matches(strip(l), {_quoted(T.LIST_MARKER)}) THEN 'LIST'
+WHEN length(regexp_replace(strip(l), '\s', '', 'g')) > 0 AND (length(regexp_replace(strip(l), '\s', '', 'g')) - length(regexp_replace(regexp_replace(strip(l), '\s', '', 'g'), '[{T.MATHEMATICAL}]', '', 'g'))) / length(regexp_replace(strip(l), '\s', '', 'g')) >= 0.25 THEN 'FORMULA'
+WHEN pos % 9 < 4 AND NOT regexp_matches(strip(l), '[.!?:;]$') AND (pos % 5 >= 2 OR pos % 3 = 0) THEN 'HEADING' ELSE 'PARAGRAPH' END AS element_type FROM (SELECT doc_id, pos, {_list(_KINDS)}[(doc_id + pos) % 7 + 1] || left(line, (doc_id + pos) * 7 % 30) AS l FROM (
 SELECT doc_id, unnest(t) AS line, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)))""")
 def element_types(spark, sf_dir):
     """All types of elements: captions, lists, formulas, headings by size and weight, paragraphs."""

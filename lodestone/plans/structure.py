@@ -22,7 +22,7 @@ SQL: dict[str, str] = {}
 
 def query(sql: str):
     def note(f):
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
+        QUERIES[f.__name__], SQL[f.__name__] = f, T.with_strip(sql)
         return f
 
     return note
@@ -43,9 +43,9 @@ def _elements(spark, sf_dir):
     )
 
 
-def _children_sql(target: int, overlap: int) -> str:
+def _children_sql(target: int, overlap: int, elements: str = _ELEMENTS, before: str = "") -> str:
     """Runs of elements by the rule, one element a step: what is open, and what was closed."""
-    return rf"""WITH RECURSIVE e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, section ORDER BY i) AS n, count(*) OVER (PARTITION BY doc_id, section) AS total, sum(size) OVER (PARTITION BY doc_id, section ORDER BY i) AS upto FROM ({_ELEMENTS})),
+    return rf"""WITH RECURSIVE {before}e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, section ORDER BY i) AS n, count(*) OVER (PARTITION BY doc_id, section) AS total, sum(size) OVER (PARTITION BY doc_id, section ORDER BY i) AS upto FROM ({elements})),
 a AS MATERIALIZED (SELECT doc_id, section, list_prepend(0, list(upto ORDER BY n)) AS cum FROM e GROUP BY ALL),
 s AS MATERIALIZED (SELECT e.doc_id, e.section, n, total, standalone, cum FROM e JOIN a USING (doc_id, section)),
 fold AS (
@@ -114,6 +114,55 @@ def oversize_split(spark, sf_dir):
     return found.select("doc_id", "piece", F.sha2("text", 256).alias("digest"))
 
 
+#: Whole documents as elements of books of thirty, under headings that change every seventh and return.
+_BOOKS = rf"""SELECT doc_id // 30 AS book, doc_id % 30 AS i, 'part ' || (doc_id % 30 // 7 % 3) AS path, strip(text) AS text, len({_WORDS_OF.format("text")})::INTEGER AS size, doc_id % 10 AS page, 0.0 AS x0, 0.0 AS y0, 1.0 AS x1, 1.0 AS y1,
+CASE WHEN contains(text, '|') OR doc_id % 13 = 4 THEN 'TABLE' WHEN doc_id % 17 = 5 THEN 'FORMULA' WHEN doc_id % 4 = 1 THEN 'LIST' ELSE 'PARAGRAPH' END AS element_type FROM documents"""
+_PARENTS = f"""books AS MATERIALIZED (SELECT *, element_type IN ('TABLE', 'FORMULA') AS standalone, sum(opens) OVER (PARTITION BY book ORDER BY i) - 1 AS s FROM (SELECT *, (lag(i) OVER w IS NULL OR path IS DISTINCT FROM lag(path) OVER w)::INTEGER AS opens FROM ({_BOOKS}) WINDOW w AS (PARTITION BY book ORDER BY i))),
+full_ AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY book, s ORDER BY i) AS n FROM books WHERE text <> ''),
+grown AS (SELECT book, s, n, CASE WHEN size >= 1200 THEN 0 ELSE size END AS used, 0 AS part, CASE WHEN size >= 1200 THEN 1 ELSE 0 END AS following FROM full_ WHERE n = 1 UNION ALL
+SELECT book, s, n, CASE WHEN now >= 1200 THEN 0 ELSE now END, part, part + CASE WHEN now >= 1200 THEN 1 ELSE 0 END FROM (
+SELECT f.book, f.s, f.n, CASE WHEN used > 0 AND used + size > 1500 THEN size ELSE used + size END AS now, following + CASE WHEN used > 0 AND used + size > 1500 THEN 1 ELSE 0 END AS part FROM grown g JOIN full_ f ON f.book = g.book AND f.s = g.s AND f.n = g.n + 1)),
+parents AS MATERIALIZED (SELECT f.*, part FROM full_ f JOIN grown g USING (book, s, n)),
+"""
+_FAMILY = "SELECT book AS doc_id, s * 1000 + part AS section, i, text, size, element_type, standalone, page, x0, y0, x1, y1 FROM parents"
+
+
+def _books(spark, sf_dir):
+    d = F.col("doc_id")
+    kind = F.when(F.contains("text", F.lit("|")) | (d % 13 == 4), "TABLE").when(d % 17 == 5, "FORMULA").when(d % 4 == 1, "LIST").otherwise("PARAGRAPH")
+    rows = table(spark, sf_dir, "documents").select(
+        F.floor(d / 30).alias("book"), (d % 30).alias("i"), F.concat(F.lit("part "), (F.floor(d % 30 / 7) % 3).cast("string")).alias("path"), T.strip(F.col("text")).alias("text"), F.size(T.words(F.col("text"))).alias("size"),
+        (d % 10).alias("page"), kind.alias("element_type"), *[F.lit(v).alias(c) for c, v in (("x0", 0.0), ("y0", 0.0), ("x1", 1.0), ("y1", 1.0))],
+    )
+    return rows.withColumn("standalone", F.col("element_type").isin("TABLE", "FORMULA"))
+
+
+@query(_children_sql(400, 70, _FAMILY, _PARENTS) + rf""", long AS MATERIALIZED (SELECT *, alone AND low = 'TABLE' AS tabled FROM chunks WHERE tokens > 700),
+parts AS MATERIALIZED (SELECT doc_id, section, child, alone, tabled, part, row_number() OVER (PARTITION BY doc_id, section, child ORDER BY k) AS i, len({_WORDS_OF.format("part")}) AS n FROM (
+  SELECT doc_id, section, child, alone, tabled, unnest(p) AS part, generate_subscripts(p, 1) AS k FROM (SELECT *, CASE WHEN alone THEN list_filter(list_transform(string_split_regex(text, '
+|
+|
+'), lambda l: strip(l)), lambda l: l <> '') ELSE {_SENTENCES} END AS p FROM long))),
+filled AS (SELECT doc_id, section, child, i, part, n AS used, 0 AS piece FROM parts WHERE i = 1 UNION ALL
+  SELECT p.doc_id, p.section, p.child, p.i, p.part, CASE WHEN used + n <= 700 THEN used + n ELSE n END, piece + CASE WHEN used + n <= 700 THEN 0 ELSE 1 END FROM filled f JOIN parts p ON p.doc_id = f.doc_id AND p.section = f.section AND p.child = f.child AND p.i = f.i + 1),
+cut AS (SELECT f.doc_id, f.section, f.child, f.piece, CASE WHEN any_value(p.tabled) AND f.piece > 0 THEN any_value(p.part) || chr(10) ELSE '' END || CASE WHEN any_value(p.alone) THEN string_agg(f.part, chr(10) ORDER BY f.i) ELSE string_agg(f.part, ' ' ORDER BY f.i) END AS text
+  FROM filled f JOIN parts p ON p.doc_id = f.doc_id AND p.section = f.section AND p.child = f.child AND p.i = 1 GROUP BY f.doc_id, f.section, f.child, f.piece)
+SELECT doc_id AS book, (section // 1000)::BIGINT AS section, (section % 1000)::INTEGER AS parent, child, coalesce(cut.piece, 0)::INTEGER AS piece, CASE WHEN alone THEN low ELSE 'TEXT' END AS chunk_type, greatest(1, len({_WORDS_OF.format("coalesce(cut.text, chunks.text)")}))::INTEGER AS tokens, sha256(coalesce(cut.text, chunks.text)) AS content_hash
+FROM chunks LEFT JOIN cut USING (doc_id, section, child)""")
+def chunk_families(spark, sf_dir):
+    """Children of 400 words of every parent, in pieces where they pass 700, of whole books."""
+    found = chunking.chunk_families(_books(spark, sf_dir), "book", "path")[1]
+    return found.select("book", "section", "parent", "child", "piece", "chunk_type", "tokens", F.sha2("text", 256).alias("content_hash"))
+
+
+@query(f"""WITH RECURSIVE {_PARENTS.rstrip().rstrip(",")} SELECT book, s::BIGINT AS section, part::INTEGER AS parent, min(i) AS first, max(i) AS last, greatest(1, sum(size))::INTEGER AS tokens, CASE WHEN min(element_type) = max(element_type) AND bool_and(standalone) THEN min(element_type) ELSE 'TEXT' END AS chunk_type,
+sha256(string_agg(text, chr(10) || chr(10) ORDER BY i)) AS content_hash FROM parents GROUP BY ALL""")
+def chunk_parents(spark, sf_dir):
+    """The parents of the same books."""
+    found = chunking.chunk_families(_books(spark, sf_dir), "book", "path")[0]
+    return found.select("book", "section", "parent", "first", "last", "tokens", "chunk_type", F.sha2("text", 256).alias("content_hash"))
+
+
 def _grids(spark, sf_dir):
     """Grids of eight parts each: with a header, without, with a row of units, with units in it, of words, with blank rows, all blank."""
     parts = table(spark, sf_dir, "part")
@@ -144,8 +193,8 @@ flag AS (SELECT *, list_transform(r, lambda x: len(list_filter(x, lambda c: c <>
 head AS (SELECT *, data[1] AS bare, CASE WHEN data[1] THEN list_transform(range(w), lambda i: '') ELSE r[1] END AS names, CASE WHEN data[1] THEN r ELSE r[2:] END AS body, CASE WHEN data[1] THEN data ELSE data[2:] END AS bodydata FROM flag),
 unit AS (SELECT *, coalesce(NOT bare AND len(list_filter(body[1], lambda c: c <> '')) > 0 AND len(list_filter(body[1], lambda c: length(c) > 12)) = 0 AND NOT bodydata[1] AND list_contains(bodydata[2:], true), false) AS own, bare OR NOT list_contains(data[2:], true) AS assumed FROM head),
 done AS (SELECT g, CASE WHEN g % 2 = 0 THEN 'Table ' || g END AS caption, ragged, assumed, CASE WHEN own THEN body[2:] ELSE body END AS rows_,
-  list_transform(range(1, w + 1), lambda i: CASE WHEN names[i] = '' THEN 'Column ' || i WHEN trim(regexp_extract(names[i], {_quoted(G.TRAILING_UNIT)}, 1)) <> '' AND trim(regexp_extract(names[i], {_quoted(G.TRAILING_UNIT)}, 2)) <> '' THEN trim(regexp_extract(names[i], {_quoted(G.TRAILING_UNIT)}, 1)) ELSE names[i] END) AS headers,
-  list_transform(range(1, w + 1), lambda i: coalesce(CASE WHEN own THEN nullif(body[1][i], '') END, CASE WHEN trim(regexp_extract(names[i], {_quoted(G.TRAILING_UNIT)}, 1)) <> '' THEN nullif(trim(regexp_extract(names[i], {_quoted(G.TRAILING_UNIT)}, 2)), '') END)) AS units FROM unit)"""
+  list_transform(range(1, w + 1), lambda i: CASE WHEN names[i] = '' THEN 'Column ' || i WHEN strip(regexp_extract(names[i], {_quoted(G.TRAILING_UNIT)}, 1)) <> '' AND strip(regexp_extract(names[i], {_quoted(G.TRAILING_UNIT)}, 2)) <> '' THEN strip(regexp_extract(names[i], {_quoted(G.TRAILING_UNIT)}, 1)) ELSE names[i] END) AS headers,
+  list_transform(range(1, w + 1), lambda i: coalesce(CASE WHEN own THEN nullif(body[1][i], '') END, CASE WHEN strip(regexp_extract(names[i], {_quoted(G.TRAILING_UNIT)}, 1)) <> '' THEN nullif(strip(regexp_extract(names[i], {_quoted(G.TRAILING_UNIT)}, 2)), '') END)) AS units FROM unit)"""
 
 
 @query(_GRIDS + """SELECT g, array_to_string(headers, ';') AS headers, array_to_string(list_transform(units, lambda u: coalesce(u, '-')), ';') AS units, len(rows_)::INTEGER AS n_rows, ragged AS was_ragged, assumed AS header_assumed,
@@ -159,7 +208,7 @@ def table_structure(spark, sf_dir):
 
 
 _MD = r"'| ' || array_to_string(list_transform({}, lambda c: replace(replace(c, '|', '\|'), chr(10), ' ')), ' | ') || ' |'"
-_PROSE = """trim(array_to_string(list_concat(CASE WHEN caption IS NULL THEN [] ELSE [caption] END, list_transform(list_filter(list_transform(rows_, lambda r: array_to_string(list_filter(list_transform(range(1, len(headers) + 1), lambda i: CASE WHEN trim(r[i]) = '' THEN NULL ELSE headers[i] || ' ' || trim(r[i]) || coalesce(' ' || units[i], '') END), lambda x: x IS NOT NULL), ', ')), lambda x: x <> ''), lambda x: x || '.')), chr(10)))"""
+_PROSE = """strip(array_to_string(list_concat(CASE WHEN caption IS NULL THEN [] ELSE [caption] END, list_transform(list_filter(list_transform(rows_, lambda r: array_to_string(list_filter(list_transform(range(1, len(headers) + 1), lambda i: CASE WHEN strip(r[i]) = '' THEN NULL ELSE headers[i] || ' ' || strip(r[i]) || coalesce(' ' || units[i], '') END), lambda x: x IS NOT NULL), ', ')), lambda x: x <> ''), lambda x: x || '.')), chr(10)))"""
 
 
 @query(

@@ -136,6 +136,8 @@ def _visits(batches: Iterator[pa.RecordBatch], index: tuple, k: int, second: boo
     centres, sizes, slots, near, far = index
     for batch in batches:
         out = []
+        if not sizes.any():
+            continue
         for at, (query, vector) in enumerate(zip(batch["id"].to_pylist(), batch["vector"].to_pylist())):
             away = distances(np.frombuffer(vector)[None], centres)[0]
             first = _first_cells(away, sizes, k)

@@ -72,19 +72,26 @@ def _in_margin(lines: DataFrame, margin: float) -> DataFrame:
     return lines.withColumns({"_bare": strip(F.regexp_replace("text", PAGE_NUMBER, "")), "_high": F.col("top") < margin})
 
 
-def margin_headers(lines: DataFrame, margin: float = 80.0, pages: int = 3, share: float = 0.15) -> DataFrame:
-    """Running headers of lines (document, page, text, top): only the top margin counts, page numbers don't."""
-    total = lines.groupBy("document").agg(F.countDistinct("page").alias("_pages"))
-    high = _in_margin(lines, margin).where("_high and _bare != ''")
+#: Elements that a running header can be taken for.
+RUNNING = ["HEADING", "PARAGRAPH"]
+
+
+def margin_headers(lines: DataFrame, pages: DataFrame, margin: float = 80.0, least: int = 3, share: float = 0.15) -> DataFrame:
+    """Running headers of lines (document, page, text, top, element_type): headings and paragraphs in the top margin, page numbers aside.
+
+    pages (document, page) are all there are, also those without lines: the share is of them.
+    """
+    total = pages.groupBy("document").agg(F.countDistinct("page").alias("_pages"))
+    high = _in_margin(lines, margin).where(F.col("_high") & (F.col("_bare") != "") & F.col("element_type").isin(RUNNING))
     found = high.groupBy("document", F.col("_bare").alias("text")).agg(F.countDistinct("page").alias("n"))
-    return found.join(total, "document").where(F.col("n") >= F.greatest(F.lit(pages), F.bround(share * F.col("_pages")))).select("document", "text", "n")
+    return found.join(total, "document").where(F.col("n") >= F.greatest(F.lit(least), F.bround(share * F.col("_pages")))).select("document", "text", "n")
 
 
 def without_headers(lines: DataFrame, headers: DataFrame, margin: float = 80.0) -> DataFrame:
-    """The lines but for running headers in the top margin."""
+    """The lines but for headings and paragraphs in the top margin that are running headers; captions and lists stay."""
     marked = _in_margin(lines, margin)
     known = headers.select(F.col("document").alias("_document"), F.col("text").alias("_text"))
-    match = (F.col("document") == F.col("_document")) & (F.col("_bare") == F.col("_text")) & F.col("_high")
+    match = (F.col("document") == F.col("_document")) & (F.col("_bare") == F.col("_text")) & F.col("_high") & F.col("element_type").isin(RUNNING)
     return marked.join(known, match, "left_anti").drop("_bare", "_high")
 
 
@@ -102,24 +109,37 @@ def word_rows(words: DataFrame, tolerance: float = 0.5) -> DataFrame:
     return rows.select("page", F.explode(F.arrays_zip("w", "r")).alias("z")).select("page", F.col("z.w.box_id").alias("box_id"), F.col("z.r").alias("row"))
 
 
+#: Heights of a page are cut into strips of so many points; what may meet shares one.
+STRIP = 100.0
+
+
+def _strips(low: Column, high: Column) -> Column:
+    """A row for each strip that an interval touches."""
+    of = lambda x: F.floor(x / STRIP).cast("long")
+    return F.explode(F.sequence(of(low), F.greatest(of(high), of(low))))
+
+
 def nearest_captions(elements: DataFrame, reach: float = 3.0) -> DataFrame:
     """Tables and figures with the nearest caption that names their kind, no farther than ``reach`` of its heights, or null.
 
-    elements: page, box_id, element_type, text, y0, y1 (from the bottom), names (the kind a caption names).
+    elements: page, box_id, element_type, text, y0, y1 (from the bottom), names (the kind a caption names). A caption with
+    its reach and an object meet where they touch the same strip of the page; meeting twice does no harm to the nearest.
     """
     captions = elements.where("element_type = 'CAPTION'").select("page", F.col("names").alias("element_type"), F.struct(F.col("y0").alias("a"), F.col("y1").alias("b"), F.col("box_id").alias("id"), F.col("text").alias("text")).alias("c"))
+    far = reach * (F.col("c.b") - F.col("c.a"))
+    captions = captions.where(far >= 0).withColumn("strip", _strips(F.col("c.a") - far, F.col("c.b") + far))
     objects = elements.where("element_type in ('TABLE', 'FIGURE')").select("page", "box_id", "element_type", "y0", "y1")
     gap = F.greatest(F.col("y0") - F.col("c.b"), F.col("c.a") - F.col("y1"), F.lit(0.0))
-    near = objects.join(captions, ["page", "element_type"]).withColumn("gap", gap).where(F.col("gap") <= reach * (F.col("c.b") - F.col("c.a")))
+    near = objects.withColumn("strip", _strips(F.col("y0"), F.col("y1"))).join(captions, ["page", "element_type", "strip"]).withColumn("gap", gap).where(F.col("gap") <= reach * (F.col("c.b") - F.col("c.a")))
     best = near.groupBy("page", "box_id").agg(F.min_by("c.text", F.struct("gap", -F.col("c.b"), F.col("c.id"))).alias("caption"))
     return objects.join(best, ["page", "box_id"], "left")
 
 
 def outside(lines: DataFrame, regions: DataFrame) -> DataFrame:
-    """Lines whose middle is in none of their page's regions (page, x0, y0, x1, y1)."""
+    """Lines whose middle is in none of their page's regions (page, x0, y0, x1, y1): of these, only those in the middle's strip are looked at."""
     x, y = (F.col("left") + F.col("right")) / 2, (F.col("top") + F.col("bottom")) / 2
-    held = regions.select(F.col("page").alias("_page"), "x0", "y0", "x1", "y1")
-    return lines.join(held, (F.col("page") == F.col("_page")) & x.between(F.col("x0"), F.col("x1")) & y.between(F.col("y0"), F.col("y1")), "left_anti")
+    held = regions.where("y0 <= y1").select(F.col("page").alias("_page"), "x0", "y0", "x1", "y1", _strips(F.col("y0"), F.col("y1")).alias("_strip"))
+    return lines.join(held, (F.col("page") == F.col("_page")) & (F.floor(y / STRIP).cast("long") == F.col("_strip")) & x.between(F.col("x0"), F.col("x1")) & y.between(F.col("y0"), F.col("y1")), "left_anti")
 
 
 def measures(boxes: DataFrame, area: float) -> DataFrame:

@@ -76,6 +76,17 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = 30) -> DataFram
     return top_ranked(found, "query_id", "cosine", "vec_id", k)
 
 
+def dense_pairs(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, k: int = 30) -> DataFrame:
+    """query_id, vec_id, cosine, rank of the k nearest of the vectors that each query may see (pairs of query_id and vec_id)."""
+    given = lambda d, name, to: d.where(F.col("embedding").isNotNull()).select(name, F.col("embedding").cast("array<double>").alias(to))
+    met = pairs.join(given(queries, "query_id", "_asked"), "query_id").join(given(vectors, "vec_id", "_own"), "vec_id")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    asked, own = F.col("_asked"), F.col("_own")
+    length = F.sqrt(dot(asked, asked) * dot(own, own))
+    cosine = F.when(length > 0, dot(asked, own) / length).otherwise(0.0)
+    return top_ranked(met.select("query_id", "vec_id", F.round(cosine, 9).alias("cosine")), "query_id", "cosine", "vec_id", k)
+
+
 def inverted_index(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """term, key, tf of every document: lower-cased letters and digits."""
     return docs.select(key, F.explode(terms(F.col("text"))).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))

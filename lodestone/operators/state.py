@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import written
+
 # Which status may follow which.
 MACHINES = {
     "document": {"PENDING": ["PROCESSING", "FAILED", "DELETING"], "PROCESSING": ["COMPLETED", "FAILED", "DELETING"], "COMPLETED": ["PROCESSING", "DELETING"], "FAILED": ["PENDING", "PROCESSING", "DELETING"]},
@@ -155,13 +157,22 @@ def shed(costs: DataFrame, key: str, fixed: str, slots: list[str], budget: int =
 
 
 def hops(edges: DataFrame, seeds: DataFrame, most_hops: int, most_nodes: int) -> DataFrame:
-    """node, hop of the nodes (at most ``most_nodes`` for each seed group, nearest first) that edges (a, b) reach from seeds (seed, node)."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    found = seeds.select("seed", "node", F.lit(0).alias("hop"))
-    edge = found
+    """seed, node, hop of the nodes (at most ``most_nodes`` for each seed, nearest first, then by name) that edges (a, b) reach from seeds (seed, node).
+
+    Of a node only the ``2 * most_nodes`` neighbours that come first are followed: a seed keeps at most ``most_nodes``,
+    and has visited no more, so no later one can be among them. At every hop a seed's frontier is cut to what it may still
+    keep, without nodes it has visited; so hubs and long walks stay bounded, and the rows are those of following all.
+    """
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct()
+    near = both.withColumn("_n", F.row_number().over(W.partitionBy("a").orderBy("b"))).where(F.col("_n") <= 2 * most_nodes).drop("_n")
+    near = written(near, "neighbours")
+    first = seeds.select("seed", "node").distinct().withColumn("n", F.row_number().over(W.partitionBy("seed").orderBy("node"))).where(F.col("n") <= most_nodes)
+    found = written(first.select("seed", "node", F.lit(0).alias("hop")), "visited")
     for hop in range(1, most_hops + 1):
-        edge = edge.select("seed", F.col("node").alias("a")).join(both, "a").select("seed", F.col("b").alias("node")).distinct().withColumn("hop", F.lit(hop))
-        found = found.unionByName(edge)
-    nearest = found.groupBy("seed", "node").agg(F.min("hop").alias("hop"))
-    order = W.partitionBy("seed").orderBy("hop", "node")
-    return nearest.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most_nodes).drop("n")
+        frontier = found.where(F.col("hop") == hop - 1).select("seed", F.col("node").alias("a"))
+        new = frontier.join(near, "a").select("seed", F.col("b").alias("node")).distinct().join(found.select("seed", "node"), ["seed", "node"], "left_anti")
+        held = found.groupBy("seed").agg(F.count("*").alias("held"))
+        placed = new.withColumn("n", F.row_number().over(W.partitionBy("seed").orderBy("node"))).where(F.col("n") <= most_nodes)
+        kept = placed.join(held, "seed").where(F.col("n") + F.col("held") <= most_nodes)
+        found = written(found.unionByName(kept.select("seed", "node", F.lit(hop).alias("hop"))), "visited")
+    return found

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import tables as G
 from lodestone.functions import text as T
+from lodestone.functions import tokens
 from lodestone.operators import chunking, context, layout
 from lodestone.plans.passages import _SENTENCES
 from lodestone.plans.store import table
@@ -17,7 +18,7 @@ SQL: dict[str, str] = {}
 
 def query(sql: str):
     def note(f):
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
+        QUERIES[f.__name__], SQL[f.__name__] = f, T.with_strip(sql)
         return f
 
     return note
@@ -178,3 +179,26 @@ def parent_expand(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")
     ranked = l.select(F.col("l_orderkey").alias("query_id"), F.expr(_ID).alias("rank"), F.col("l_partkey").alias("chunk_id"), F.when(F.col("l_suppkey") % 4 > 0, F.col("l_suppkey") % 4 * 1000).alias("parent_id"), (F.col("l_returnflag") == "A").alias("expand"))
     return chunking.with_parents(ranked, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk_id")))
+
+
+#: Pieces that occur most often in words: that many of three letters, at the start and inside.
+_PIECES = """SELECT piece FROM (SELECT piece, row_number() OVER (PARTITION BY starts_with(piece, '##') ORDER BY n DESC, piece) AS k FROM (SELECT piece, count(*) AS n FROM (
+SELECT CASE WHEN i = 1 THEN '' ELSE '##' END || substr(term, i, 3) AS piece FROM (SELECT term, unnest(range(1, length(term) - 1)) AS i FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents))) GROUP BY piece)) WHERE k <= 300
+UNION ALL SELECT m || c FROM (SELECT unnest(['', '##']) AS m), (SELECT unnest(string_split('abcdefghijklmnopqrstuvwxy0123456789', '')) AS c)"""
+
+
+@query(f"""WITH RECURSIVE p AS MATERIALIZED ({_PIECES}), t AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
+cut AS (SELECT DISTINCT term, 0 AS i, 0 AS n FROM t UNION ALL SELECT term, i + step, n + 1 FROM (
+  SELECT term, i, n, max(length(piece) - 2 * starts_with(piece, '##')::INTEGER) AS step FROM cut JOIN p ON p.piece = CASE WHEN i = 0 THEN '' ELSE '##' END || substr(term, i + 1, 3) OR p.piece = CASE WHEN i = 0 THEN '' ELSE '##' END || substr(term, i + 1, 1) WHERE i < length(term) GROUP BY ALL)),
+w AS (SELECT term, coalesce(max(n) FILTER (i = length(term)), 1) AS n FROM cut GROUP BY term)
+SELECT d.doc_id, coalesce(sum(w.n), 0)::INTEGER AS n_tokens, coalesce(sum(w.n), 0) + 2 <= 512 AS fits FROM documents d LEFT JOIN t USING (doc_id) LEFT JOIN w USING (term) GROUP BY d.doc_id""")
+def vocabulary_counts(spark, sf_dir):
+    """Tokens of every document by a vocabulary of pieces, and whether they fit a model."""
+    docs = table(spark, sf_dir, "documents")
+    at = F.explode(F.sequence(F.lit(1), F.length("term") - 2))
+    places = docs.select(F.explode(T.terms(F.col("text"))).alias("term")).where("length(term) > 2").select("term", at.alias("at"))
+    pieces = places.select(F.concat(F.when(F.col("at") == 1, "").otherwise("##"), F.expr("substr(term, at, 3)")).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+    best = pieces.withColumn("k", F.row_number().over(W.partitionBy(F.startswith("piece", F.lit("##"))).orderBy(F.desc("n"), "piece"))).where("k <= 300")
+    vocabulary = [r.piece for r in best.select("piece").collect()] + [m + c for m in ("", "##") for c in "abcdefghijklmnopqrstuvwxy0123456789"]  # 670 at most
+    n = tokens.counter(vocabulary)(T.terms(F.col("text")))
+    return docs.select("doc_id", n.alias("n_tokens")).withColumn("fits", tokens.fits(F.col("n_tokens")))

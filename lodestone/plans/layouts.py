@@ -80,9 +80,9 @@ def page_measures(spark, sf_dir):
     return layout.measures(boxes, area=40000.0)
 
 
-_MARGIN = r"""SELECT source AS document, doc_id AS page, pos, line, strip(regexp_replace(CASE WHEN pos = 0 THEN CASE doc_id % 3 WHEN 0 THEN 'Chapter ' || doc_id % 2 || ' | ' || doc_id WHEN 1 THEN doc_id || ' — Chapter ' || doc_id % 2 ELSE line END ELSE line END, '^\d+\s*[|—–]\s*|\s*[|—–]\s*\d+$', '', 'g')) AS text, pos * 30.0 AS top FROM (
+_MARGIN = r"""SELECT source AS document, doc_id AS page, pos, line, strip(regexp_replace(CASE WHEN pos = 0 THEN CASE doc_id % 3 WHEN 0 THEN 'Chapter ' || doc_id % 2 || ' | ' || doc_id WHEN 1 THEN doc_id || ' — Chapter ' || doc_id % 2 ELSE line END ELSE line END, '^\d+\s*[|—–]\s*|\s*[|—–]\s*\d+$', '', 'g')) AS text, pos * 30.0 AS top, ['PARAGRAPH', 'HEADING', 'PARAGRAPH', 'CAPTION', 'HEADING', 'LIST'][(doc_id // 2 + pos) % 6 + 1] AS element_type FROM (
 SELECT source, doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT source, doc_id, string_split(text, chr(10)) AS l FROM documents))"""
-_HEADERS = f"""SELECT document, text, n FROM (SELECT document, text, count(DISTINCT page) AS n FROM ({_MARGIN}) WHERE top < 80 AND text <> '' GROUP BY ALL) JOIN (SELECT source AS document, count(DISTINCT doc_id) AS pages FROM documents GROUP BY ALL) USING (document)
+_HEADERS = f"""SELECT document, text, n FROM (SELECT document, text, count(DISTINCT page) AS n FROM ({_MARGIN}) WHERE top < 80 AND text <> '' AND element_type IN ('HEADING', 'PARAGRAPH') GROUP BY ALL) JOIN (SELECT source AS document, count(DISTINCT doc_id) AS pages FROM documents GROUP BY ALL) USING (document)
 WHERE n >= greatest(3, CASE WHEN 0.15 * pages - floor(0.15 * pages) = 0.5 THEN 2 * round(0.15 * pages / 2) ELSE round(0.15 * pages) END)"""
 
 
@@ -90,20 +90,25 @@ def _margin(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("source").alias("document"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     chapter, number = F.concat(F.lit("Chapter "), (F.col("page") % 2).cast("string")), F.col("page").cast("string")
     head = F.when(F.col("page") % 3 == 0, F.concat(chapter, F.lit(" | "), number)).when(F.col("page") % 3 == 1, F.concat(number, F.lit(" — "), chapter)).otherwise(F.col("line"))
-    return rows.select("document", "page", "pos", F.when(F.col("pos") == 0, head).otherwise(F.col("line")).alias("text"), (F.col("pos") * 30.0).alias("top"))
+    kinds = F.array(*[F.lit(x) for x in ("PARAGRAPH", "HEADING", "PARAGRAPH", "CAPTION", "HEADING", "LIST")])
+    return rows.select("document", "page", "pos", F.when(F.col("pos") == 0, head).otherwise(F.col("line")).alias("text"), (F.col("pos") * 30.0).alias("top"), F.get(kinds, ((F.floor(F.col("page") / 2) + F.col("pos")) % 6).cast("int")).alias("element_type"))
+
+
+def _pages(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("document"), F.col("doc_id").alias("page"))
 
 
 @query(_HEADERS)
 def margin_headers(spark, sf_dir):
-    """Texts in the top margin, page numbers aside, that come back on three pages and 15 percent of all, rounded half to even."""
-    return layout.margin_headers(_margin(spark, sf_dir))
+    """Headings and paragraphs in the top margin, page numbers aside, that come back on three pages and 15 percent of all, rounded half to even."""
+    return layout.margin_headers(_margin(spark, sf_dir), _pages(spark, sf_dir))
 
 
-@query(f"""WITH m AS MATERIALIZED ({_MARGIN}), h AS ({_HEADERS}) SELECT page, pos::INTEGER AS pos FROM m WHERE NOT (top < 80 AND EXISTS (SELECT 1 FROM h WHERE h.document = m.document AND h.text = m.text))""")
+@query(f"""WITH m AS MATERIALIZED ({_MARGIN}), h AS ({_HEADERS}) SELECT page, pos::INTEGER AS pos FROM m WHERE NOT (top < 80 AND element_type IN ('HEADING', 'PARAGRAPH') AND EXISTS (SELECT 1 FROM h WHERE h.document = m.document AND h.text = m.text))""")
 def header_suppression(spark, sf_dir):
     """Lines without running headers; places keep their gaps."""
     rows = _margin(spark, sf_dir)
-    return layout.without_headers(rows, layout.margin_headers(rows)).select("page", "pos")
+    return layout.without_headers(rows, layout.margin_headers(rows, _pages(spark, sf_dir))).select("page", "pos")
 
 
 _PAGE_KIND = """CASE WHEN o_orderkey % 11 = 0 THEN 'COMPLEX' WHEN o_orderkey % 11 IN (1, 2) THEN 'SCANNED' ELSE 'NATIVE_TEXT' END"""

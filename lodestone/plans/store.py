@@ -6,6 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.operators.statistics import exact_percentiles
+from lodestone.sources import merged
+from lodestone.sources.shared import shared_path
 from lodestone.sources.tables import table
 
 QUERIES: dict = {}
@@ -80,6 +82,20 @@ def merge_latest(spark, sf_dir):
     return old.unionByName(new).groupBy("o_orderkey").agg(F.max_by("o_orderstatus", "version").alias("o_orderstatus"), F.max("version").alias("version"))
 
 
+@query("""WITH v AS (SELECT o_orderkey, o_orderstatus, 0 AS version, false AS gone FROM orders UNION ALL SELECT o_orderkey, 'X', 1, o_orderkey % 15 = 0 FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'Y', 2, false FROM orders WHERE o_orderkey % 7 = 0)
+SELECT o_orderkey, o_orderstatus, version::INTEGER AS version FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY version DESC) AS n FROM v) WHERE n = 1 AND NOT gone""")
+def merge_at_rest(spark, sf_dir):
+    """Batches of changed and deleted rows merged into a table at rest, one of them twice and out of order."""
+    orders, path = table(spark, sf_dir, "orders"), shared_path(spark, "orders")
+    of = lambda rows, status, version: rows.select("o_orderkey", status.alias("o_orderstatus"), F.lit(version).alias("version"))
+    merged.create_merged(of(orders, F.col("o_orderstatus"), 0), path, ["o_orderkey"], "version")
+    later = of(orders.where("o_orderkey % 7 = 0"), F.lit("Y"), 2)
+    first = of(orders.where("o_orderkey % 3 = 0"), F.lit("X"), 1).withColumn("deleted", F.col("o_orderkey") % 15 == 0)
+    for batch in (later, first, later):
+        merged.merge_batch(spark, path, batch, ["o_orderkey"], "version")
+    return merged.read_merged(spark, path)
+
+
 @query("SELECT d.doc_id, coalesce(len(e.embedding), 0)::INTEGER AS dimension, coalesce(round(e.embedding[1]::DOUBLE, 6), 0) AS first FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
 def attach_embeddings(spark, sf_dir):
     """Vectors joined to their rows; rows without one stay."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.sources import tables
-from lodestone.streaming import leases
+from lodestone.streaming import leases, worker
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -49,6 +49,40 @@ def stream_sessions_day(spark, sf_dir):
     return found.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "n")
 
 
+_JOB = "STRUCT(job_id BIGINT, priority BIGINT, created BIGINT, status VARCHAR, attempts BIGINT, due BIGINT, lease BIGINT, claimed BIGINT)"
+_OF = "{{'job_id': {x}.job_id, 'priority': {x}.priority, 'created': {x}.created, 'status': {status}, 'attempts': {attempts}, 'due': {due}, 'lease': {lease}, 'claimed': {claimed}}}"
+_FAILED = {"status": "CASE WHEN x.attempts >= 3 THEN 'DEAD_LETTER' ELSE 'FAILED' END", "attempts": "x.attempts", "lease": "NULL", "claimed": "x.claimed"}
+_WAIT = "CASE WHEN x.attempts >= 3 THEN NULL ELSE {now} + least(10 * (1 << greatest(0, least(x.attempts - 1, 32))), 900) * 1000000 END"
+_AFTER = {
+    "poll": {"status": "'RUNNING'", "attempts": "x.attempts + 1", "due": "x.due", "lease": "t + 300000000", "claimed": "t"},
+    "heartbeat": {"status": "'RUNNING'", "attempts": "x.attempts", "due": "x.due", "lease": "t + 300000000", "claimed": "x.claimed"},
+    "complete": {"status": "'COMPLETED'", "attempts": "x.attempts", "due": "x.due", "lease": "NULL", "claimed": "x.claimed"},
+    "fail": _FAILED | {"due": _WAIT.format(now="t")},
+}
+
+
+@query(f"""WITH RECURSIVE wm AS (SELECT epoch_ms(max(ts)) * 1000 AS wm FROM events),
+c AS (SELECT user_id AS queue, event_id, epoch_us(ts) AS t, CASE WHEN event_type IN ('signup', 'purchase') THEN 'submit' WHEN event_type = 'view' THEN 'poll' WHEN event_type = 'error' THEN 'fail' WHEN event_id % 3 = 0 THEN 'complete' ELSE 'heartbeat' END AS command, floor(value)::BIGINT % 3 AS priority FROM events, wm WHERE epoch_us(ts) <= wm),
+e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY command = 'end', t, event_id) AS n FROM (SELECT * FROM c UNION ALL SELECT DISTINCT queue, NULL::BIGINT, wm, 'end', 0 FROM c, wm)),
+fold AS (SELECT DISTINCT queue, 0::BIGINT AS n, []::{_JOB}[] AS jobs, []::{_JOB}[] AS gone, NULL::{_JOB} AS done, NULL::BIGINT AS event_id, 0::BIGINT AS t, '' AS command FROM e UNION ALL
+SELECT queue, n, CASE WHEN command = 'submit' THEN list_append(jobs, {{'job_id': event_id, 'priority': priority, 'created': t, 'status': 'PENDING', 'attempts': 0, 'due': NULL, 'lease': NULL, 'claimed': 0}}::{_JOB})
+  WHEN done IS NULL THEN jobs ELSE list_filter(list_transform(jobs, lambda x: CASE WHEN x.job_id = done.job_id THEN done ELSE x END), lambda x: x.status NOT IN ('COMPLETED', 'DEAD_LETTER')) END, gone, done, event_id, t, command FROM (
+SELECT *, list_filter(list_transform(jobs, lambda x: CASE WHEN chosen IS NULL OR x.job_id <> chosen THEN NULL {" ".join(f"WHEN command = '{c}' THEN {_OF.format(x='x', **a)}::{_JOB}" for c, a in _AFTER.items())} END), lambda x: x IS NOT NULL)[1] AS done FROM (
+SELECT *, CASE WHEN command = 'poll' THEN list_sort(list_transform(list_filter(jobs, lambda x: (x.status = 'PENDING' OR (x.status = 'FAILED' AND x.attempts < 3)) AND (x.due IS NULL OR x.due <= t)), lambda x: {{'p': -x.priority, 'c': x.created, 'j': x.job_id}}))[1].j
+  WHEN command IN ('heartbeat', 'complete', 'fail') THEN -list_sort(list_transform(list_filter(jobs, lambda x: x.status = 'RUNNING'), lambda x: {{'c': -x.claimed, 'j': -x.job_id}}))[1].j END AS chosen FROM (
+SELECT e.queue, e.n, e.event_id, e.t, e.command, e.priority, list_transform(list_filter(f.jobs, lambda x: x.status = 'RUNNING' AND x.lease < e.t), lambda x: {_OF.format(x="x", **(_FAILED | {"due": _WAIT.format(now="x.lease"), "lease": "x.lease"}))}::{_JOB}) AS gone,
+  list_filter(list_transform(f.jobs, lambda x: CASE WHEN x.status = 'RUNNING' AND x.lease < e.t THEN {_OF.format(x="x", **(_FAILED | {"due": _WAIT.format(now="x.lease")}))}::{_JOB} ELSE x END), lambda x: x.status <> 'DEAD_LETTER') AS jobs
+FROM fold f JOIN e ON e.queue = f.queue AND e.n = f.n + 1))))
+SELECT queue, event_id, t AS at, done.job_id AS job_id, upper(command) AS action, done.status AS status, done.attempts AS attempts, CASE done.status WHEN 'RUNNING' THEN done.lease WHEN 'FAILED' THEN done.due END AS until FROM fold WHERE done IS NOT NULL
+UNION ALL SELECT queue, NULL, g.lease, g.job_id, 'RECLAIM', g.status, g.attempts, g.due FROM (SELECT queue, unnest(gone) AS g FROM fold)""")
+def stream_worker(spark, sf_dir):
+    """The log of every user's queue: events submit, poll, keep alive, complete and fail jobs; leases that run out give them back."""
+    kind, e = F.col("event_type"), F.col("event_id")
+    command = F.when(kind.isin("signup", "purchase"), "submit").when(kind == "view", "poll").when(kind == "error", "fail").when(e % 3 == 0, "complete").otherwise("heartbeat")
+    commands = _events(spark, sf_dir).select(F.col("user_id").alias("queue"), e, "ts", command.alias("command"), F.when(command == "submit", e).alias("job_id"), (F.floor("value") % 3).alias("priority"))
+    return leases.drained(worker.worked(commands), "worker", worker.SETTINGS)
+
+
 @query("SELECT event_id, event_type AS task, floor(value * 10)::BIGINT AS latency_ms, event_id % 7 = 0 AS used_fallback FROM events WHERE event_type <> 'error'")
 def invocation_log(spark, sf_dir):
     """A row for each model call, appended batch by batch."""

@@ -1,5 +1,6 @@
 """Small cases of the rules that depend on order, by hand."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,11 +18,11 @@ def structure(spark, grid):
 
 
 def test_table_structure(spark):
-    assert structure(spark, [["Metal", "Density"], ["Aluminium", "2.70"], ["Iron", "7.87"]]) == (["Metal", "Density"], [None, None], [["Aluminium", "2.70"], ["Iron", "7.87"]], False, False)
-    assert structure(spark, [["1", "2.70"], ["2", "7.87"]]) == (["Column 1", "Column 2"], [None, None], [["1", "2.70"], ["2", "7.87"]], False, True)
-    assert structure(spark, [["Metal", "Density"], ["", "g/cm3"], ["Aluminium", "2.70"]]) == (["Metal", "Density"], [None, "g/cm3"], [["Aluminium", "2.70"]], False, False)
-    assert structure(spark, [[None, None], ["", " "]]) is None
-    assert structure(spark, [["Mass (kg)", "(estimated)"], ["1"]]) == (["Mass", "(estimated)"], ["kg", None], [["1", ""]], True, False)
+    assert structure(spark, [["Town", "Visitors"], ["Lund", "4,100"], ["Graz", "512"]]) == (["Town", "Visitors"], [None, None], [["Lund", "4,100"], ["Graz", "512"]], False, False)
+    assert structure(spark, [["18", "0.4"], ["19", "0.6"]]) == (["Column 1", "Column 2"], [None, None], [["18", "0.4"], ["19", "0.6"]], False, True)
+    assert structure(spark, [["Town", "Rain"], ["", "mm"], ["Lund", "61"]]) == (["Town", "Rain"], [None, "mm"], [["Lund", "61"]], False, False)
+    assert structure(spark, [["", None], ["\n", None]]) is None
+    assert structure(spark, [["Depth (fathoms)", "(at low tide)"], ["7"]]) == (["Depth", "(at low tide)"], ["fathoms", None], [["7", ""]], True, False)
 
 
 def runs(spark, sizes, alone=None, **how):
@@ -82,7 +83,7 @@ def test_compression_keeps_what_carries_weight(spark):
 def test_web_search(spark):
     docs = spark.createDataFrame([(1, "red apple pie"), (2, "apple tart and red wine"), (3, "green pear"), (4, "pie of red apple"), (5, "Red, red apple")], "doc_id long, text string")
     ask = lambda q: [r.doc_id for r in keywords.web_search(spark.createDataFrame([(1, q)], "query_id long, q string"), docs).orderBy("rank").collect()]
-    assert ask("red apple") == [5, 1, 4, 2] or ask("red apple")[:3] and set(ask("red apple")) == {1, 2, 4, 5}
+    assert ask("red apple") == [1, 4, 5, 2]  # side by side in the first three, ties by id
     assert set(ask('"red apple"')) == {1, 4, 5} and set(ask("red apple -pie")) == {2, 5} and set(ask('apple -"red apple"')) == {2}
     assert set(ask("pear or tart")) == {2, 3} and ask("the of") == [] and ask("-pie") == [] and ask("") == []
 
@@ -92,6 +93,10 @@ def test_answers(spark):
     assert not parse("{").valid and not parse(None).valid and not parse('{"answer": "x"}').valid  # no claims, yet not insufficient
     good = parse('{"answer": "x", "claims": [{"text": " t ", "citations": ["[S1]"]}]}')
     assert good.valid and good.claims[0].text == "t" and good.claims[0].citations == ["[S1]"]
+    for blank in (r"\t", r"\n", r"\u00a0", r" \u2003\r\n"):
+        assert not parse('{"answer": "x", "claims": [{"text": "%s", "citations": ["S1"]}]}' % blank).valid
+        assert not parse('{"answer": "x", "claims": [{"text": "t", "citations": ["%s"]}]}' % blank).valid
+        assert not parse('{"answer": "%s", "claims": [{"text": "t", "citations": ["S1"]}]}' % blank).valid
 
 
 def test_backoff_and_percentiles(spark):
@@ -104,6 +109,15 @@ def test_backoff_and_percentiles(spark):
     assert [found["a"][p] for p in ("p0", "p50", "p99", "p100")] == pytest.approx([at(0), at(0.5), at(0.99), at(1)]) and found["b"].p50 == 3.0 and "c" not in found
 
 
+def test_percentiles_with_an_outlier_are_cut_again(spark):
+    """One value far away leaves no range fuller than it may be, however few a task may put in order."""
+    values = sorted([float(i * i % 7919) / 7 for i in range(3000)] + [1e12])
+    rows = spark.createDataFrame([("a", v) for v in values] + [("b", 1.0), ("b", 2.0)], "k string, v double").repartition(3)
+    wanted = {"p1": 0.01, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    found = {r.k: r for r in exact_percentiles(rows, "k", "v", wanted, most=5).collect()}
+    assert [found["a"][p] for p in wanted] == pytest.approx(list(np.quantile(values, list(wanted.values())))) and found["b"].p50 == 1.5 and found["a"].n == 3001
+
+
 def test_dense_search_with_ties(spark):
     vectors = spark.createDataFrame([(i, [1.0, float(i % 3), 0.0]) for i in range(50)] + [(99, None)], "vec_id long, embedding array<double>").repartition(3)
     queries = spark.createDataFrame([(1, [2.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0])], "query_id long, embedding array<double>")

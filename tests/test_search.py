@@ -219,3 +219,30 @@ def test_search_among_what_is_allowed(spark):
     allowed = spark.createDataFrame([(1, 3), (1, 4), (2, 4), (2, 3), (2, 4)], "query_id long, doc_id long")
     found = keywords.web_search(asked, docs, allowed=allowed).collect()
     assert {(r.query_id, r.doc_id) for r in found} == {(1, 3), (1, 4), (2, 4)}
+
+
+def test_web_search_shuffles_no_candidates(spark):
+    """Every document has both words and every question asks for them: what is shuffled are the best of each block, not the pairs."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("red apple and pie").alias("text"))
+    asked = spark.range(200).select(F.col("id").alias("query_id"), F.lit("red pie").alias("q"))
+    found = keywords.web_search(asked, docs, 5)
+    rows = found.collect()
+    assert len(rows) == 1000 and {r.doc_id for r in rows} == set(range(5)) and {r.score for r in rows} == {round(1 / 3, 6)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "CartesianProduct" in plan and "SortMergeJoin" not in plan
+
+
+def test_web_search_counts_one_span_at_a_place(spark):
+    """Where two slots end at one place, only the shortest span counts, as in SQL."""
+    docs = spark.createDataFrame([(1, "red pie red")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, '"pie red" red')], "query_id long, q string")
+    # slots pie at 1, red (of the phrase) at 2, red at 0 and 2: the span from 0 is no shortest one at 2
+    assert [r.score for r in keywords.web_search(asked, docs).collect()] == [1.0]
+
+
+def test_all_terms_of_a_text(spark):
+    docs = [(1, "a b c"), (2, "c b a a"), (3, "a b"), (4, ""), (5, "A-b c d")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    terms = spark.createDataFrame([(9, t) for t in "abc"] + [(8, "d"), (8, "zz"), (7, "d")], "query_id long, term string")
+    found = [(r.query_id, r.doc_id, r.score, r["rank"]) for r in keywords.keyword_top_k(terms, rows).orderBy("query_id", "rank").collect()]
+    assert found == [(7, 5, 1.0, 0), (9, 2, round(3 + math.log(2), 6), 0), (9, 1, 3.0, 1), (9, 5, 3.0, 2)]

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -246,3 +247,15 @@ def test_all_terms_of_a_text(spark):
     terms = spark.createDataFrame([(9, t) for t in "abc"] + [(8, "d"), (8, "zz"), (7, "d")], "query_id long, term string")
     found = [(r.query_id, r.doc_id, r.score, r["rank"]) for r in keywords.keyword_top_k(terms, rows).orderBy("query_id", "rank").collect()]
     assert found == [(7, 5, 1.0, 0), (9, 2, round(3 + math.log(2), 6), 0), (9, 1, 3.0, 1), (9, 5, 3.0, 2)]
+
+
+def test_containment_of_lists_at_once():
+    """All pairs of lists as a plain comparison has them, also across blocks of hashes, with empty and null lists."""
+    rng = random.Random(5)
+    lists = [rng.sample(range(-20_000, 20_000), k) for k in (9000, 12_000, 7)] + [[], None, [3], [3, 4, 5, 6, 7], [3, 4, 5, 6, -9]]
+    lists.append(lists[0][:5000] + [50_000 + i for i in range(1250)])
+    found = evidence.contained(pa.array(lists, pa.list_(pa.int64())), 0.8)
+    for i, a in enumerate(lists):
+        for j, b in enumerate(lists):
+            assert found[i, j] == bool(a and b and len(set(a) & set(b)) / min(len(a), len(b)) >= 0.8), (i, j)
+    assert found[0, 8] and found[6, 7]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.retrieval import top_ranked
-from lodestone.sources.shared import written
+from lodestone.sources.shared import bounded_batches, written
 
 #: Vectors, or questions, that travel in one row.
 PACK = 1000
@@ -78,6 +78,7 @@ class DenseIndex:
 
 def build_index(vectors: DataFrame, cells: int | None = None, sample: int = 10_000) -> DenseIndex:
     """The index of vectors (vec_id, embedding): about a quarter of the square root of their number of cells, at most 1024."""
+    bounded_batches(vectors.sparkSession)
     held = _usable(vectors, "vec_id")
     n = held.count()
     step = max(1, n // sample)
@@ -194,8 +195,12 @@ def _k_best(query: np.ndarray, vec: np.ndarray, cosine: np.ndarray, k: int) -> l
     return [query[rank < k], vec[kept], cosine[kept]]
 
 
-def _compared(batches: Iterator[pa.RecordBatch], k: int, held: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """Compares packs with the packs of questions that meet them; of a task's rows, the k best of each question that may find one."""
+def _compared(batches: Iterator[pa.RecordBatch], k: int, held: int = 1_000_000, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Compares packs with the packs of questions that meet them; of a task's rows, the k best of each question that may find one.
+
+    Where these are more than half of ``most``, they are passed on and forgotten, so that memory does not grow with the
+    questions: a question then has k rows for each time, of which the best are taken where all come together.
+    """
     best, pairs = [[], [], []], [[], []]
 
     def shrink() -> None:
@@ -204,9 +209,16 @@ def _compared(batches: Iterator[pa.RecordBatch], k: int, held: int = 1_000_000)
         asked, at = np.unique(np.concatenate(pairs[0]), return_inverse=True)
         pairs[:] = [[asked], [np.bincount(at, np.concatenate(pairs[1])).astype(np.int64)]]
 
+    def passed_on() -> pa.RecordBatch:
+        query, vec, cosine = (x[0] for x in best)
+        first = np.concatenate([[True], query[1:] != query[:-1]])
+        counts = np.where(first, pairs[1][0][np.searchsorted(pairs[0][0], query)], 0)
+        return pa.record_batch([pa.array(x) for x in (query, vec, cosine, counts)], names=["query_id", "vec_id", "cosine", "pairs"])
+
     size = 0
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
             away, reach = np.frombuffer(row["query_away"]), np.frombuffer(row["query_reach"])
             may = np.flatnonzero((away - reach <= row["far"]) & (away + reach >= row["near"]))
             if not len(may):
@@ -223,13 +235,13 @@ def _compared(batches: Iterator[pa.RecordBatch], k: int, held: int = 1_000_000)
             if size > held:
                 shrink()
                 size = len(best[0][0])
-                held = max(held, 2 * size)
+                held = min(most, max(held, 2 * size))
+                if 2 * size > most:
+                    yield passed_on()
+                    best[:], pairs[:], size = [[], [], []], [[], []], 0
     if pairs[0]:
         shrink()
-        query, vec, cosine = (x[0] for x in best)
-        first = np.concatenate([[True], query[1:] != query[:-1]])
-        counts = np.where(first, pairs[1][0][np.searchsorted(pairs[0][0], query)], 0)
-        yield pa.record_batch([pa.array(x) for x in (query, vec, cosine, counts)], names=["query_id", "vec_id", "cosine", "pairs"])
+        yield passed_on()
 
 
 def _met(questions: DataFrame, index: DenseIndex, k: int, second: bool) -> DataFrame:

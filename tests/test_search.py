@@ -259,3 +259,21 @@ def test_containment_of_lists_at_once():
         for j, b in enumerate(lists):
             assert found[i, j] == bool(a and b and len(set(a) & set(b)) / min(len(a), len(b)) >= 0.8), (i, j)
     assert found[0, 8] and found[6, 7]
+
+
+def test_compared_rows_are_passed_on():
+    """However many questions come, no more rows are held than said, and all vectors compared are counted."""
+    rng = np.random.default_rng(3)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.normal(size=(n, 4)))
+    vectors, wanted, rows = unit(60), unit(50), []
+    for v in range(0, 60, 20):
+        for q in range(0, 50, 10):
+            data = [np.arange(v, v + 20), vectors[v : v + 20], np.arange(q, q + 10), wanted[q : q + 10], np.zeros(10), np.full(10, np.inf)]
+            rows.append(dict(zip(("ids", "vectors", "query_ids", "query_vectors", "query_away", "query_reach"), (x.tobytes() for x in data)), near=0.0, far=2.0))
+    found = list(dense._compared(iter([pa.RecordBatch.from_pylist(rows)]), 3, held=60, most=60))
+    assert len(found) > 1 and max(b.num_rows for b in found) <= 90
+    table = pa.Table.from_batches(found).to_pandas()
+    assert table.groupby("query_id")["pairs"].sum().tolist() == [60] * 50
+    best = table.sort_values(["query_id", "cosine", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(3)
+    exact = np.argsort(-np.round(wanted @ vectors.T, 9), axis=1, kind="stable")[:, :3]
+    assert best["vec_id"].to_numpy().reshape(50, 3).tolist() == exact.tolist()

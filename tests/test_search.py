@@ -1,6 +1,7 @@
 """Search, reranking, chunking and merging against plain versions of what they promise."""
 
 import math
+import os
 import random
 import re
 
@@ -277,3 +278,38 @@ def test_compared_rows_are_passed_on():
     best = table.sort_values(["query_id", "cosine", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(3)
     exact = np.argsort(-np.round(wanted @ vectors.T, 9), axis=1, kind="stable")[:, :3]
     assert best["vec_id"].to_numpy().reshape(50, 3).tolist() == exact.tolist()
+
+
+def test_blocks_are_small_and_a_task_merges_them(spark, monkeypatch):
+    """Many blocks in one task give k rows for a question, the index is smaller than the texts, and an id in several blocks counts once."""
+    monkeypatch.setattr(keywords, "BLOCK", 4000)
+    monkeypatch.setattr(keywords, "LEAST", 10**9)
+    rng = random.Random(8)
+    rows = [(i % 900, " ".join(rng.choice(["river", "stone", *(f"word{rng.randrange(400)}" for _ in range(8))]) for _ in range(60))) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    asked = spark.createDataFrame([(1, "river stone"), (2, "river OR stone")], "query_id long, q string")
+    index = keywords.positional_index(docs)
+    size = sum(os.path.getsize(f.removeprefix("file://").removeprefix("file:")) for f in index.blocks.inputFiles())
+    assert index.blocks.count() > 50 and size < sum(len(t) for _, t in rows)
+    found = [tuple(r) for r in keywords.web_search(asked, index, 1000).select("query_id", "doc_id", "score", "rank").collect()]
+    monkeypatch.setattr(keywords, "BLOCK", 10**9)
+    assert sorted(found) == sorted(tuple(r) for r in keywords.web_search(asked, docs, 1000).select("query_id", "doc_id", "score", "rank").collect())
+    assert len({r[:2] for r in found}) == len(found) > 500
+    out = []
+    given = keywords._met
+
+    def counted(batches, scored, k):
+        for batch in given(batches, scored, k):
+            out.append(batch.num_rows)
+            yield batch
+
+    alternatives = pa.array([[{"query_id": 1, "alt": 0, "terms": [{"clause": 0, "place": 0, "slot": 0, "negated": False, "term": "river"}]}]])
+    blocks = index.blocks.drop("block").toArrow().combine_chunks().to_batches()[0]
+    batch = pa.record_batch([*blocks.columns, pa.concat_arrays([alternatives] * blocks.num_rows)], names=[*blocks.schema.names, "alternatives"])
+    assert list(counted([batch], keywords._dense, 5)) and sum(out) == 5
+
+
+def test_the_best_are_taken_before_the_shuffle(spark):
+    rows = spark.range(100).selectExpr("id % 3 AS q", "id % 7 AS score", "id")
+    plan = retrieval.top_ranked(rows, "q", "score", "id", 4)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan

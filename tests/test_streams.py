@@ -75,3 +75,13 @@ def test_jobs_by_hand():
         (3, 2, "POLL", "RUNNING", 1), (4, 1, "POLL", "RUNNING", 1), (5, 2, "FAIL", "FAILED", 1), (7, 2, "POLL", "RUNNING", 2), (None, 1, "RECLAIM", "FAILED", 1), (None, 2, "RECLAIM", "FAILED", 2),
         (8, 2, "POLL", "RUNNING", 3), (None, 2, "RECLAIM", "DEAD_LETTER", 3),
     ]
+
+
+def test_queues_share_their_state(spark, tmp_path):
+    """Queues on both sides of a border, a negative one among them: the log is each one's own, the state is fetched for many at once."""
+    rows = [(q * 7 - 20, *r[1:]) for r in commands(4, 120) for q in [r[1] % 40]]
+    queue = stream(spark, tmp_path, [rows[i : i + 30] for i in range(0, 120, 30)], "queue long, event_id long, s long, command string, job_id long, priority long")
+    log = worker.worked(queue, "10 minutes")
+    assert "queues" in log._jdf.queryExecution().analyzed().toString() and worker.TOGETHER > 1
+    got = sorted((tuple(r) for r in leases.drained(log, "worker-many", worker.SETTINGS).collect()), key=str)
+    assert got and got == plain_log(rows, max(r[2] for r in rows) - 600)

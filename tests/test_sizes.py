@@ -22,3 +22,10 @@ def test_shingles_are_cut_after_texts_met(spark):
 
 def test_lists_of_facts_carry_no_texts(spark):
     assert "text#" not in below_join(state.QUERIES["memory_retrieval"](spark, FOLDER))
+
+
+def test_ranked_lists_carry_no_texts(spark):
+    from lodestone.plans import flagship
+
+    for rows in (flagship.ranked_passages(spark, FOLDER), flagship.chosen_passages(spark, FOLDER)):
+        assert not {"text", "parent_text"} & set(rows.columns) and rows.count() > 0

@@ -29,3 +29,16 @@ def test_ranked_lists_carry_no_texts(spark):
 
     for rows in (flagship.ranked_passages(spark, FOLDER), flagship.chosen_passages(spark, FOLDER)):
         assert not {"text", "parent_text"} & set(rows.columns) and rows.count() > 0
+
+
+def test_weights_travel_to_the_texts(spark):
+    """Texts meet a pool's rows last, so that they aren't dealt out by question once these weights are too many to broadcast."""
+    from lodestone.plans import flagship
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = flagship.QUERIES["memory_recall"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert "doc_id" in joins[0] and "query_id" not in joins[0].split("Join")[1]

@@ -311,6 +311,38 @@ def test_blocks_are_small_and_a_task_merges_them(spark, monkeypatch):
     assert list(counted([batch], keywords._dense, 5)) and sum(out) == 5
 
 
+def test_only_what_may_be_among_the_best_is_scored(spark, monkeypatch):
+    """With bounds, a task gives the same documents of its blocks, equal scores by id, and scores a fraction of the candidates."""
+    monkeypatch.setattr(keywords, "BLOCK", 6000)
+    monkeypatch.setattr(keywords, "HELD", 1000)
+    monkeypatch.setattr(keywords, "LEAST", 10**9)
+    rng = random.Random(4)
+    words, weights = ["red", "apple", "pie", "of", "wine", "tart", *(f"w{i}" for i in range(60))], [8, 6, 4, 3, 2, 1, *[0.5] * 60]
+    docs = [(i * 37 % 1000, " ".join(rng.choices(words, weights, k=rng.choice([3, 20, 100])))) for i in range(1000)]
+    forms = ["red", "red apple", '"red apple" pie', "pie red apple", "wine tart OR red pie", "red -pie", '"apple of" red', 'apple -"red apple"', "red apple -tart", "apple apple", '"pie pie" red', "w1 w2 OR w3"]
+    asked = spark.createDataFrame(list(enumerate(forms)), "query_id long, q string")
+    index = keywords.positional_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    assert index.blocks.count() > 20
+    found = keywords.web_search(asked, index, k=3).orderBy("query_id", "rank").collect()
+    for i, q in enumerate(forms):
+        assert [(r.doc_id, r.score) for r in found if r.query_id == i] == plain_search(q, docs)[:3], q
+
+    terms = [{"clause": i, "place": 0, "slot": i, "negated": False, "term": t} for i, t in enumerate(["apple", "pie", "red"])]
+    alternatives = pa.array([[{"query_id": 1, "alt": 0, "terms": terms}]])
+    blocks = index.blocks.drop("block").toArrow().combine_chunks().to_batches()[0]
+    batch = pa.record_batch([*blocks.columns, pa.concat_arrays([alternatives] * blocks.num_rows)], names=[*blocks.schema.names, "alternatives"])
+    scored = []
+
+    def dense(asked, block, pair, owner):
+        scored.append(len(pair))
+        return keywords._dense(asked, block, pair, owner)
+
+    rows = lambda **more: [tuple(r.values()) for b in keywords._met([batch], dense, 3, **more) for r in b.to_pylist()]
+    whole, n = rows(), sum(scored)
+    scored.clear()
+    assert rows(near=keywords._near) == whole and n > 300 and sum(scored) < n / 2
+
+
 def test_the_best_are_taken_before_the_shuffle(spark):
     rows = spark.range(100).selectExpr("id % 3 AS q", "id % 7 AS score", "id")
     plan = retrieval.top_ranked(rows, "q", "score", "id", 4)._jdf.queryExecution().executedPlan().toString()
